@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import markup, terms
-from textloom.session import read
+from textloom.llm import markup, packing, reading, terms, tokenizer
+from textloom.session import cut, read, slots
 
 
 def p1_frequency(spark: SparkSession, base: str) -> DataFrame:
@@ -37,4 +37,37 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return terms.distinctive_terms(scored, 0.12).select(F.col("record").alias("doc_id"), "term")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequency, p2_found, p2_clean_text, p4_found)}
+def p6_ids(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "text").repartition(slots(spark))
+    return docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
+
+
+def _packed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    limits = read(spark, base, "pack_limits").select("limit_id", "capacity", F.col("tokenizer").alias("limit_key"))
+    names = sorted(r[0] for r in limits.select("limit_key").distinct().collect() if r[0])
+    docs = read(spark, base, "documents").select("doc_id", "text").repartition(slots(spark))
+    n = cut(docs.select("doc_id", tokenizer.count_tokens(F.col("text"), names).alias("n")))
+    sizes = F.explode(F.array(*[F.struct(F.lit(t).alias("limit_key"), F.col(f"n.`{t}`").alias("size")) for t in names]))
+    items = n.select(F.col("doc_id").alias("id"), sizes.alias("s")).select("id", "s.limit_key", "s.size")
+    return packing.pack(items, limits), limits
+
+
+def p7_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Container of each text (piece of a text above the capacity) for each limit."""
+    packed, _ = _packed(spark, base)
+    return packed.select("limit_id", "container", F.col("item").cast("long").alias("doc_id"), "part", F.col("size").alias("tokens"))
+
+
+def p7_fill(spark: SparkSession, base: str) -> DataFrame:
+    return packing.fill_report(*_packed(spark, base))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    docs = read(spark, base, "documents").select("doc_id", "text", "lang")
+    return reading.english_levels(docs, read(spark, base, "reading_labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_frequency, p2_found, p2_clean_text, p4_found, p6_ids, p7_containers, p7_fill, p8_found)
+}

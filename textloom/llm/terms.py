@@ -76,8 +76,8 @@ def _last_seen(batches: Iterator[pa.RecordBatch], limit: int = VOCABULARY) -> It
             held = b.slice(b.num_rows - 1)
             yield b
         if held is not None:
-            yield held
-            held = None
+            rest, held = held, None
+            yield rest
 
     for b in rows(batches):
         n = b.num_rows if held is None else b.num_rows - 1
