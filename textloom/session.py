@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
 def slots(spark: SparkSession) -> int:
     """Partitions for CPU-bound Python stages: those of a shuffle, so that they grow with the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: like :func:`cut`, for rows of
+    which later plans read different columns."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
