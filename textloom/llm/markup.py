@@ -317,7 +317,7 @@ _CUTS = re.compile(
 _TEX_TEXT = re.compile(r"\\(?:textbf|textit|emph|texttt|underline|section\*?|subsection\*?|subsubsection\*?)\{([^{}]*)\}")
 _WIKI_LINK = re.compile(r"\[\[(?:[^\]|]*\|)?([^\]]*)\]\]")
 _MD_LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)")
-_ANY_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
+_ANY_TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*)?/?>")
 _BREAKS = re.compile(r"</?(?:p|div|ul|ol|table|tr|blockquote|section|article)\b[^>]*>|<br\s*/?>|</(?:h[1-6]|li)\s*>", re.I)
 _H = re.compile(r"<h([1-6])(?=[\s>])[^>]*>(.*?)</h\1\s*>|<(?P<t>[a-z][a-z0-9]*)\s[^<>]*\brole\s*=\s*[\"']?heading\b[^<>]*>(?P<b>.*?)</(?P=t)\s*>", re.S | re.I)
 _MARKS = re.compile(r"'{2,5}|\*\*|__|(?<!\w)\*(?=\S)|(?<=\S)\*(?!\w)")
@@ -438,3 +438,37 @@ def elements(df: DataFrame, key: str, page: str, classes: frozenset[str] = froze
     kinds = F.array(*[F.struct(F.lit(e).alias("elem"), F.col(f"n.{e}").alias("c")) for e in ELEMS])
     n = n.select(key, F.explode(F.filter(kinds, lambda k: k.c > 0)).alias("k"))
     return n.select(key, F.col("k.elem").alias("elem"), F.explode(F.sequence(F.lit(1), F.col("k.c"))).alias("seq"))
+
+
+_WORD = re.compile(r"\w+")
+_OUT_HTML = re.compile(
+    r"<(sup|ref|a|h[1-6]|li)(?=[\s>])(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|(?=<li(?=[\s>]))|(?=</[uo]l\s*>)|\Z))|<br\s*/?>\s*\*[^\n<]*", re.S | re.I
+)
+_OUT_ROLE = re.compile(r"<([a-z][a-z0-9]*)\s[^<>]*\brole\s*=\s*[\"']?heading\b[^<>]*>.*?</\1\s*>", re.S | re.I)
+_OUT_TEX = re.compile(r"~?\\(?:(?:sub){0,2}section\*?|cite|ref|label)\{[^}]*\}|^[ \t]*\\(?:item|begin|end)\b[^\n]*$", re.M)
+_OUT_LINKS = re.compile(r"\{\{.*?\}\}|\[\[[^\]]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)", re.S)
+
+
+def prose(block: str) -> list[str]:
+    """Words, in lower case, of a block's running text: without headings, list items, code,
+    formulas, links, notes and references."""
+    block = unescape_block(block)
+    rest = _without(block, lambda kind, source: "")
+    if "<" in rest:
+        if "role" in rest:
+            rest = _OUT_ROLE.sub("\n", rest)
+        rest = _ANY_TAG.sub("", _OUT_HTML.sub("\n", rest))
+    if "\\" in rest:
+        rest = _TEX_TEXT.sub(r"\1", _OUT_TEX.sub("", rest))
+    if "{{" in rest or "[" in rest:
+        rest = _OUT_LINKS.sub("", rest)
+    lines = rest.split("\n")
+    markdown = bool(_MARKDOWN.search(block))
+    rest = "\n".join(line for line, kind in zip(lines, _line_kinds(lines, markdown), strict=True) if not kind)
+    if "&" in rest:
+        rest = html.unescape(rest)
+    return _WORD.findall(rest.lower())
+
+
+def study_prose(page: str | None) -> list[str]:
+    return [w for b in blocks(page, STUDY_TEXT) for w in prose(b)] if page else []

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import markup, packing, reading, terms, tokenizer
+from textloom.llm import markup, neardup, packing, reading, terms, tokenizer
+from textloom.functions.urls import epoch_seconds, normalize_url
+from textloom.operators.incremental import newest
 from textloom.session import cut, read, slots
 
 
@@ -37,6 +39,33 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return terms.distinctive_terms(scored, 0.12).select(F.col("record").alias("doc_id"), "term")
 
 
+def _current_pages(spark: SparkSession, base: str) -> DataFrame:
+    """``(member, node, page)``: each manifest entry with the current record of its page."""
+    raw = read(spark, base, "raw_documents")
+    rows = raw.where(F.col("url").isNotNull()).select(normalize_url(F.col("url")).alias("url"), epoch_seconds(F.col("crawl_time")).alias("_t"), "landed_at", "raw_id")
+    current = newest(rows, ["url"], [F.col("_t"), F.col("landed_at")], ["raw_id"])
+    entries = read(spark, base, "manifest").where(F.col("url").isNotNull()).select("doc_id", "url").distinct()
+    of = entries.join(current, "url").select(F.col("doc_id").alias("member"), F.col("raw_id").alias("node"))
+    return of.join(raw.select(F.col("raw_id").alias("node"), F.col("raw_html").alias("page")), "node")
+
+
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    """Group of every record: ``field``, ``doc_id``, ``group_id``; records in no comparison are left out."""
+    pages = neardup.page_groups(_current_pages(spark, base)).select(F.lit("raw_html").alias("field"), F.col("member").alias("doc_id"), F.col("group").alias("group_id"))
+    titles = neardup.title_groups(read(spark, base, "manifest").select(F.col("doc_id").alias("member"), "title"))
+    return pages.unionByName(titles.select(F.lit("title").alias("field"), F.col("member").alias("doc_id"), F.col("group").alias("group_id")))
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    groups = cut(p5_groups(spark, base))
+    out = None
+    for field in ("raw_html", "title"):
+        of = groups.where(F.col("field") == field).select(F.col("doc_id").alias("member"), F.col("group_id").alias("group"))
+        pairs = neardup.pairs_within(of, "doc_id_a", "doc_id_b").select(F.lit(field).alias("field"), "doc_id_a", "doc_id_b")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
     docs = read(spark, base, "documents").select("doc_id", "text").repartition(slots(spark))
     return docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
@@ -69,5 +98,5 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequency, p2_found, p2_clean_text, p4_found, p6_ids, p7_containers, p7_fill, p8_found)
+    for f in (p1_found, p1_frequency, p2_found, p2_clean_text, p4_found, p5_found, p5_groups, p6_ids, p7_containers, p7_fill, p8_found)
 }
