@@ -45,6 +45,8 @@ class _Page(HTMLParser):
                 self.title = "".join(self.text[start:])
 
     def handle_starttag(self, tag, attrs):
+        if self.title is None and self.open and self.open[-1][0] == "title":
+            self.title = "".join(self.text[self.open[-1][1] :])  # up to the first element inside
         if tag in _VOID:
             return
         if self.open and self.open[-1][0] == "p" and tag in _ENDS_P or self.open and self.open[-1][0] == tag == "li":

@@ -52,7 +52,7 @@ def _page(title: Column, parts: list[tuple[str, str, Column]]) -> Column:
 def article_html(r: Column) -> Column:
     """Page of a literature record (a struct as ARTICLE). Null and missing values are treated alike."""
     people = F.coalesce(r["authorList"]["author"], F.array().cast("array<struct<firstName:string,lastName:string>>"))
-    authors = F.array_join(F.transform(people, lambda a: F.trim(F.concat(_or(a.firstName), F.lit(" "), _or(a.lastName)))), ", ")
+    authors = F.array_join(F.transform(people, lambda a: F.concat(_or(a.firstName), F.lit(" "), _or(a.lastName))), ", ")
     words = F.coalesce(r["keywordList"]["keyword"], F.array().cast("array<string>"))
     keywords = F.array_join(F.transform(words, lambda k: F.coalesce(F.get_json_object(k, "$.keyword"), k)), "; ")
     return _page(
@@ -85,7 +85,8 @@ def trial_html(r: Column) -> Column:
             ("p", "phases", listed(s["designModule"]["phases"], ", ")),
             ("p", "conditions", listed(s["conditionsModule"]["conditions"], ", ")),
             ("p", "interventions", F.array_join(F.transform(arms, lambda a: F.concat(_or(a.type), F.lit(": "), _or(a["name"]))), "; ")),
-            ("div", "description", F.concat(_or(about["briefSummary"]), F.lit("\n"), _or(about["detailedDescription"]))),
+            ("div", "summary", _or(about["briefSummary"])),
+            ("div", "description", _or(about["detailedDescription"])),
         ],
     )
 

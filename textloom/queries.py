@@ -362,7 +362,7 @@ def min_length_filter(spark, base):
 # --- pages ---
 
 
-@query(r"SELECT raw_id, trim(regexp_extract(raw_html, '<title>([^<]*)</title>', 1)) AS title FROM raw_documents WHERE raw_html IS NOT NULL")
+@query(r"SELECT raw_id, trim(regexp_extract(raw_html, '<title>([^<]*)', 1)) AS title FROM raw_documents WHERE raw_html IS NOT NULL")
 def html_title(spark, base):
     raw = read(spark, base, "raw_documents").where("raw_html IS NOT NULL")
     return raw.select("raw_id", extract.title_and_body(F.col("raw_html"))["title"].alias("title"))
@@ -389,7 +389,7 @@ def dense_ids(spark, base):
 
 
 @query(r"""SELECT doc_id, '<html><head><title>' || coalesce(source, 'Untitled') || '</title></head><body><h1>' || coalesce(source, 'Untitled') || '</h1><p class=''authors''>Ann '
-|| coalesce(lang, '') || ', Bo</p><p class=''journal''>' || coalesce(journal, '') || ' (' || coalesce(pub_year, '') || ')</p><p class=''doi''></p><p class=''keywords''>cancer; '
+|| coalesce(lang, '') || ', Bo </p><p class=''journal''>' || coalesce(journal, '') || ' (' || coalesce(pub_year, '') || ')</p><p class=''doi''></p><p class=''keywords''>cancer; '
 || coalesce(lang, 'none') || '</p><div class=''abstract''>' || text || '</div></body></html>' AS html FROM documents WHERE length(text) >= 100""")
 def json_article_html(spark, base):
     """Records as the literature service sends them, made of the documents, as JSON and back."""
@@ -411,7 +411,7 @@ def json_article_html(spark, base):
 
 @query(r"""SELECT doc_id, '<html><head><title>' || coalesce(journal, source, 'Untitled') || '</title></head><body><h1>' || coalesce(journal, source, 'Untitled') || '</h1><p class=''nctid''>N'
 || doc_id || '</p><p class=''status''>' || coalesce(lang, '') || '</p><p class=''phases''>PHASE1, PHASE2</p><p class=''conditions''></p><p class=''interventions''>DRUG: '
-|| coalesce(source, '') || '</p><div class=''description''>' || coalesce(text, '') || chr(10) || '</div></body></html>' AS html FROM documents""")
+|| coalesce(source, '') || '</p><div class=''summary''>' || coalesce(text, '') || '</div><div class=''description''></div></body></html>' AS html FROM documents""")
 def json_trial_html(spark, base):
     """Records as the trial service sends them, made of the documents, as JSON and back."""
     record = F.struct(
