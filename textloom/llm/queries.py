@@ -13,11 +13,8 @@ from textloom.session import cut, read, slots
 
 def p1_frequency(spark: SparkSession, base: str) -> DataFrame:
     """Every distinct term of tokens and postings with its counts and mark."""
-    postings = terms.posting_rows(read(spark, base, "postings"))
-    return terms.term_frequency(
-        {"token": terms.token_rows(read(spark, base, "tokens")), "posting": postings},
-        {"posting": postings.agg(F.countDistinct("record").alias("n"))},
-    )
+    tokens, postings = read(spark, base, "tokens"), read(spark, base, "postings")
+    return terms.term_frequency({"token": (terms.token_rows(tokens), True), "posting": (terms.posting_rows(postings), False)})
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:

@@ -12,6 +12,7 @@ group-bys and joins only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +40,35 @@ def normal_term(term: Column) -> Column:
 _PARTIAL = "term string, record long, occurrences long, records long"
 
 
-def _last_seen(batches: Iterator[pa.RecordBatch], limit: int = VOCABULARY) -> Iterator[pa.RecordBatch]:
+def _last_seen(batches: Iterator[pa.RecordBatch], whole: bool = True, limit: int = VOCABULARY) -> Iterator[pa.RecordBatch]:
     """Counters of a partition ordered by (record, slot). Of the rows with one record and slot the
-    last counts; rows without slot all count. The row without term holds the number of records."""
+    last counts; rows without slot all count. The row without term and record holds the number of
+    records; where partitions split records (not ``whole``), each record has a row without term."""
     code: dict[str, int] = {}
     occ = np.zeros(1024, np.int64)
     rec = np.zeros(1024, np.int64)
     last = np.full(1024, np.iinfo(np.int64).min, np.int64)
     of_long: dict[tuple[int, int], int] = {}
     long_records: set[int] = set()
+    seen: list[np.ndarray] = []
     n_records, current = 0, None
     held: pa.RecordBatch | None = None
 
     def emit() -> pa.RecordBatch:
         names = list(code)
-        term = [*names, *(names[c] for c, _ in of_long), None, *([None] * len(long_records))]
         k = len(names)
-        used = rec[:k] > 0
+        # counters of terms, then terms of long records, then records, each of which counts once
+        alone = np.unique(np.concatenate([*seen, np.array(list(long_records), np.int64)]))
+        term = [*names, *(names[c] for c, _ in of_long), None, *([None] * len(alone))]
         table = pa.record_batch(
             {
                 "term": pa.array(term, pa.string()),
-                "record": pa.array([None] * k + [r for _, r in of_long] + [None] + list(long_records), pa.int64()),
-                "occurrences": pa.array([*occ[:k].tolist(), *of_long.values(), 0, *([0] * len(long_records))], pa.int64()),
-                "records": pa.array([*rec[:k].tolist(), *([1] * len(of_long)), n_records, *([1] * len(long_records))], pa.int64()),
+                "record": pa.array([None] * k + [r for _, r in of_long] + [None] + alone.tolist(), pa.int64()),
+                "occurrences": pa.array([*occ[:k].tolist(), *of_long.values(), 0, *([0] * len(alone))], pa.int64()),
+                "records": pa.array([*rec[:k].tolist(), *([1] * len(of_long)), n_records, *([1] * len(alone))], pa.int64()),
             }
         )
-        return table.filter(pa.array(np.concatenate([used, np.ones(len(term) - k, bool)])))
+        return table.filter(pa.array(np.concatenate([rec[:k] > 0, np.ones(len(term) - k, bool)])))
 
     def rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal held
@@ -91,7 +95,7 @@ def _last_seen(batches: Iterator[pa.RecordBatch], limit: int = VOCABULARY) -> It
         record = record[:n]
         if len(code) > limit and current is not None and record[0] != current:
             yield emit()
-            code.clear(), of_long.clear(), long_records.clear()
+            code.clear(), of_long.clear(), long_records.clear(), seen.clear()
             occ[:], rec[:], last[:], n_records, current = 0, 0, np.iinfo(np.int64).min, 0, None
         d = b.column("term").slice(0, n).dictionary_encode()
         to = np.fromiter((code.setdefault(t, len(code)) for t in d.dictionary.to_pylist()), np.int64, len(d.dictionary))
@@ -112,7 +116,10 @@ def _last_seen(batches: Iterator[pa.RecordBatch], limit: int = VOCABULARY) -> It
             continue
         np.add.at(occ, codes, weight)
         starts = np.flatnonzero(np.diff(record)) + 1
-        n_records += len(starts) + (record[0] != current)
+        if whole:
+            n_records += len(starts) + (record[0] != current)
+        else:
+            seen.append(record[np.concatenate([[0], starts])])
         current = record[-1]
         index = np.zeros(len(record), np.int64)
         index[starts] = 1
@@ -126,14 +133,15 @@ def _last_seen(batches: Iterator[pa.RecordBatch], limit: int = VOCABULARY) -> It
     yield emit()
 
 
-def term_counters(rows: DataFrame) -> DataFrame:
-    """``(term, occurrences, records)`` of rows ``(record, slot, term, n, long)``, partitioned by
-    record (and part of a long record); the row with a null term has the number of records."""
-    parts = rows.sortWithinPartitions("record", "slot", "term").mapInArrow(_last_seen, _PARTIAL)
-    apart = parts.where(F.col("record").isNotNull()).groupBy("term", "record").agg(F.sum("occurrences").alias("occurrences"))
-    apart = apart.select("term", "occurrences", F.lit(1).cast("long").alias("records"))
-    added = parts.where(F.col("record").isNull()).select("term", "occurrences", "records").unionByName(apart)
-    return added.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+def term_counters(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """``(term, occurrences, records)`` of rows ``(record, slot, term, n, long)`` in this order; the row with a null
+    term has the number of records. Rows are partitioned by record (and part of a long record), or
+    in any other way that keeps the rows of a term and record together if not ``whole``."""
+    parts = rows.mapInArrow(partial(_last_seen, whole=whole), _PARTIAL)
+    # what partitions share is a term of one record, or a record: each counts once
+    once = parts.groupBy("term", "record").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    n = F.when(F.col("record").isNull(), F.col("records")).otherwise(1)
+    return once.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum(n).alias("records"))
 
 
 def token_rows(tokens: DataFrame, record: str = "doc_id", slot: str = "position", term: str = "text") -> DataFrame:
@@ -143,8 +151,9 @@ def token_rows(tokens: DataFrame, record: str = "doc_id", slot: str = "position"
         F.col(record).cast("long").alias("record"), F.col(slot).cast("int").alias("slot"), normal_term(F.col(term)).alias("term")
     ).dropna()
     long = tokens.where(F.col(slot) >= LONG_RECORD).select(F.col(record).cast("long").alias("record"), F.lit(True).alias("_long")).distinct()
-    t = t.join(long, "record", "left").select("*", F.lit(1).alias("n"), F.coalesce("_long", F.lit(False)).alias("long")).drop("_long")
-    return t.repartition("record", F.when(F.col("long"), F.floor(F.col("slot") / LONG_RECORD)))
+    t = t.join(long, "record", "left").select("record", "slot", "term", F.coalesce("_long", F.lit(False)).alias("long"))
+    t = t.repartition("record", F.when(F.col("long"), F.floor(F.col("slot") / LONG_RECORD)))
+    return t.sortWithinPartitions("record", "slot", "term").withColumn("n", F.lit(1))
 
 
 def counted_postings(postings: DataFrame, record: str = "doc_id", term: str = "term", tf: str = "tf", loaded: str = "loaded_at") -> DataFrame:
@@ -163,27 +172,20 @@ def posting_rows(postings: DataFrame, **names: str) -> DataFrame:
     """Rows for :func:`term_counters` out of postings. Each (term, record) is one row by now, so
     they may be partitioned by both, and no record is too long."""
     c = counted_postings(postings, **names)
-    return c.select("record", F.lit(None).cast("int").alias("slot"), "term", F.col("tf").alias("n"), F.lit(False).alias("long"))
+    return c.sortWithinPartitions("record").select("record", F.lit(None).cast("int").alias("slot"), "term", F.col("tf").alias("n"), F.lit(False).alias("long"))
 
 
-def term_frequency(
-    sources: dict[str, DataFrame], n_records: dict[str, DataFrame] | None = None, rare_records: int = 3, rare_occurrences: int = 5, common_share: float = 0.3
-) -> DataFrame:
-    """``(origin, term, occurrences, records, mark)`` of every distinct term of each source.
+def term_frequency(sources: dict[str, tuple[DataFrame, bool]], rare_records: int = 3, rare_occurrences: int = 5, common_share: float = 0.3) -> DataFrame:
+    """``(origin, term, occurrences, records, mark)`` of every distinct term of each source, which is
+    given by its rows and whether their partitions hold whole records.
 
     ``mark`` is ``rare`` for a term in fewer than ``rare_records`` records or with fewer than
     ``rare_occurrences`` occurrences, else ``common`` for one in more than ``common_share`` of the
-    records that have any term, else null. An empty source has no terms. ``n_records`` gives the
-    number of records (one row, column ``n``) of sources whose partitions split records.
+    records that have any term, else null. An empty source has no terms.
     """
     out = None
-    for origin, rows in sources.items():
-        counted = term_counters(rows).select(F.lit(origin).alias("origin"), "*")
-        if n_records and origin in n_records:
-            total = n_records[origin].select(
-                F.lit(origin).alias("origin"), F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("occurrences"), F.col("n").alias("records")
-            )
-            counted = counted.where(F.col("term").isNotNull()).unionByName(total)
+    for origin, (rows, whole) in sources.items():
+        counted = term_counters(rows, whole).select(F.lit(origin).alias("origin"), "*")
         out = counted if out is None else out.unionByName(counted)
     out = cut(out)
     total = out.where(F.col("term").isNull()).select("origin", F.col("records").alias("_all"))  # a row per source
