@@ -440,7 +440,9 @@ def elements(df: DataFrame, key: str, page: str, classes: frozenset[str] = froze
     return n.select(key, F.col("k.elem").alias("elem"), F.explode(F.sequence(F.lit(1), F.col("k.c"))).alias("seq"))
 
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w+|[.!?](?=\s|\Z)|\n")
+#: Stands between the sentences of :func:`prose`.
+STOPS = frozenset(".!?\n")
 _OUT_HTML = re.compile(
     r"<(sup|ref|a|h[1-6]|li)(?=[\s>])(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|(?=<li(?=[\s>]))|(?=</[uo]l\s*>)|\Z))|<br\s*/?>\s*\*[^\n<]*", re.S | re.I
 )
@@ -451,7 +453,7 @@ _OUT_LINKS = re.compile(r"\{\{.*?\}\}|\[\[[^\]]*\]\]|!?\[[^\]\n]*\]\([^)\s]*\)",
 
 def prose(block: str) -> list[str]:
     """Words, in lower case, of a block's running text: without headings, list items, code,
-    formulas, links, notes and references."""
+    formulas, links, notes and references. Between sentences stands one of STOPS."""
     block = unescape_block(block)
     rest = _without(block, lambda kind, source: "")
     if "<" in rest:
@@ -471,4 +473,4 @@ def prose(block: str) -> list[str]:
 
 
 def study_prose(page: str | None) -> list[str]:
-    return [w for b in blocks(page, STUDY_TEXT) for w in prose(b)] if page else []
+    return [w for b in blocks(page, STUDY_TEXT) for w in [*prose(b), "\n"]] if page else []

@@ -25,6 +25,8 @@ from textloom.session import cut
 WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 #: A record with a slot at or above this is split over partitions and counted apart.
 LONG_RECORD = 1 << 16
+#: So many long records are sent to every executor, more are joined.
+FEW_LONG = 50_000
 #: A partition hands on its counters at the next record when it holds so many terms.
 VOCABULARY = 400_000
 
@@ -150,10 +152,14 @@ def token_rows(tokens: DataFrame, record: str = "doc_id", slot: str = "position"
     t = tokens.select(
         F.col(record).cast("long").alias("record"), F.col(slot).cast("int").alias("slot"), normal_term(F.col(term)).alias("term")
     ).dropna()
-    long = tokens.where(F.col(slot) >= LONG_RECORD).select(F.col(record).cast("long").alias("record"), F.lit(True).alias("_long")).distinct()
-    t = t.join(long, "record", "left").select("record", "slot", "term", F.coalesce("_long", F.lit(False)).alias("long"))
-    t = t.repartition("record", F.when(F.col("long"), F.floor(F.col("slot") / LONG_RECORD)))
-    return t.sortWithinPartitions("record", "slot", "term").withColumn("n", F.lit(1))
+    long = tokens.where(F.col(slot) >= LONG_RECORD).select(F.col(record).cast("long").alias("record"), F.lit(True).alias("long")).distinct()
+    n_long = long.limit(FEW_LONG + 1).count()  # reads the slots only, and of these what the statistics leave
+    if n_long:
+        t = t.join(F.broadcast(long) if n_long <= FEW_LONG else long, "record", "left").fillna(False, "long")
+        t = t.repartition("record", F.when(F.col("long"), F.floor(F.col("slot") / LONG_RECORD)))
+    else:
+        t = t.repartition("record").withColumn("long", F.lit(False))
+    return t.sortWithinPartitions("record", "slot", "term").select("record", "slot", "term", F.lit(1).alias("n"), "long")
 
 
 def counted_postings(postings: DataFrame, record: str = "doc_id", term: str = "term", tf: str = "tf", loaded: str = "loaded_at") -> DataFrame:
