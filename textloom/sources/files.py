@@ -55,7 +55,7 @@ def read_json_records(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def write_manifest(m: DataFrame, path: str) -> None:
-    m.select("doc_id", "url", "title", "text_size_bytes").write.mode("overwrite").option("sep", "\t").option("header", "true").option("quote", "").csv(path)
+    m.select("doc_id", "url", "title", "text_size_bytes").write.mode("overwrite").option("sep", "\t").option("header", "true").option("quote", "").option("emptyValue", "").csv(path)
 
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
