@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut
+from textloom.session import cut, keep
 
 #: The characters of Unicode's White_Space and the information separators.
 WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -39,6 +39,9 @@ def normal_term(term: Column) -> Column:
     return F.when(t != "", t)
 
 
+#: Tables of up to so many rows (terms, records) are sent to every executor.
+SENT = 500_000
+
 _PARTIAL = "term string, record long, occurrences long, records long"
 
 
@@ -165,13 +168,24 @@ def token_rows(tokens: DataFrame, record: str = "doc_id", slot: str = "position"
 def counted_postings(postings: DataFrame, record: str = "doc_id", term: str = "term", tf: str = "tf", loaded: str = "loaded_at") -> DataFrame:
     """``(term, record, tf)``, one row for each term and record with tf of 1 or more. Of rows that
     agree in both the newest decides, of equally new ones the greatest tf; null times are oldest."""
-    # time and tf in one decimal: its maximum is aggregated in place, a struct's would need a sort
-    newest = F.coalesce(F.unix_micros(loaded), F.lit(-(1 << 62))).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
-    packed = newest + (F.coalesce(F.col(tf), F.lit(0)).cast("long") + F.lit(1 << 31)).cast("decimal(10,0)")
-    p = postings.select(normal_term(F.col(term)).alias("term"), F.col(record).cast("long").alias("record"), packed.alias("p")).dropna()
+    p = postings.select(
+        normal_term(F.col(term)).alias("term"),
+        F.col(record).cast("long").alias("record"),
+        F.unix_micros(loaded).alias("at"),
+        F.greatest(F.coalesce(F.col(tf), F.lit(0)), F.lit(0)).cast("long").alias("tf"),
+    ).dropna(subset=["term", "record"])
+    # time and tf in one number, whose maximum is aggregated in place, as a struct's is not
+    r = postings.agg(F.min(F.unix_micros(loaded)), F.max(F.unix_micros(loaded)), F.max(tf)).first()
+    first, span = r[0] or 0, (r[1] or 0) - (r[0] or 0) + 2
+    unit = max(r[2] or 0, 1) + 1
+    at = F.coalesce(F.col("at") - F.lit(first) + 1, F.lit(0))
+    if span * unit < 1 << 62:
+        packed = at * F.lit(unit) + F.col("tf")
+    else:
+        packed = at.cast("decimal(20,0)") * F.lit(unit).cast("decimal(10,0)") + F.col("tf").cast("decimal(10,0)")
+    p = p.select("term", "record", packed.alias("p")).repartition("term", "record")
     p = p.groupBy("term", "record").agg(F.max("p").alias("p"))
-    low = F.pmod(F.col("p"), F.lit(1 << 32).cast("decimal(10,0)")).cast("long") - F.lit(1 << 31)
-    return p.select("term", "record", low.cast("int").alias("tf")).where("tf >= 1")
+    return p.select("term", "record", F.pmod(F.col("p"), F.lit(unit)).cast("int").alias("tf")).where("tf >= 1")
 
 
 def posting_rows(postings: DataFrame, **names: str) -> DataFrame:
@@ -225,20 +239,23 @@ def distinctiveness(postings: DataFrame, forward: DataFrame, headers: DataFrame,
     outweighing all others. ``weight`` is tf / length * ln(n / df), 0 if n or df is 0. Nothing is
     dropped: terms with a ppmi of 0 come out too. Empty postings give no rows.
     """
-    counted = counted_postings(postings)
-    length = record_lengths(counted, forward)
+    counted = keep(counted_postings(postings))
+    length = keep(record_lengths(counted, forward))
     terms = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    terms = cut(terms.select("term", "df", F.pow("cf", F.lit(alpha)).alias("smooth")))
-    # two numbers for the whole collection
-    whole = terms.agg(F.sum("smooth").alias("mass")).first()
+    terms = keep(terms.select("term", "df", F.pow("cf", F.lit(alpha)).alias("smooth")))
+    # three numbers for the whole collection
+    whole = terms.agg(F.sum("smooth").alias("mass"), F.count("*").alias("n")).first()
     n = collection_size(headers).first()[0] or 0
-    terms = terms.select(
+    scored = terms.select(
         "term",
         "df",
         (F.col("smooth") / F.lit(float(whole.mass or 1.0))).alias("p_term"),
         F.when((F.col("df") > 0) & (F.lit(n) > 0), F.log(F.lit(float(n)) / F.col("df"))).otherwise(F.lit(0.0)).alias("idf"),
     )
-    rows = counted.join(length, "record").join(terms, "term")
+    # both sides have been counted: they are sent to every executor up to a bound, joined beyond it
+    few = length.count() <= SENT
+    rows = counted.join(F.broadcast(length) if few else length, "record")
+    rows = rows.join(F.broadcast(scored) if whole.n <= SENT else scored, "term")
     share = F.col("tf") / F.col("length")
     pmi = F.log(share / F.col("p_term"))
     return rows.select("record", "term", "tf", "length", "df", "p_term", "idf", F.greatest(pmi, F.lit(0.0)).alias("ppmi"), (share * F.col("idf")).alias("weight"))
