@@ -24,9 +24,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, title, url, body, raw_bytes)`` of the files ``<doc_id>.txt``: a line of title, a
     line of url, the rest. Files of fewer than three lines and other files are left out."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(path)
+    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     files = files.select("value", F.regexp_extract("_metadata.file_name", r"^([0-9]+)\.txt$", 1).alias("name"), F.col("_metadata.file_size").alias("raw_bytes"))
-    lines = F.split("value", "\r\n|\n|\r", 3)
+    lines = F.split("value", r"\r\n|\n|\r", 3)
     kept = files.where((F.col("name") != "") & (F.size(lines) >= 3))
     return kept.select(F.col("name").cast("long").alias("doc_id"), F.trim(lines[0]).alias("title"), F.trim(lines[1]).alias("url"), lines[2].alias("body"), "raw_bytes")
 
