@@ -114,6 +114,16 @@ def test_file_batches_survive_failure(spark, tmp_path):
     assert sorted(r.value for r in b.output().collect()) == ["one", "three", "two"]
 
 
+def test_file_that_returns_to_an_earlier_version(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    b = incremental.FileBatches(spark, str(tmp_path / "out"))
+    for batch, text in (("1", "one"), ("2", "two"), ("3", "one")):
+        (source / "a.txt").write_text(text)
+        assert b.run(str(source), lambda paths: spark.read.text(paths), batch_id=batch) == batch
+    assert b.run(str(source), lambda paths: spark.read.text(paths)) is None
+
+
 def test_stream(spark, tmp_path):
     rows = [("http://A/x", "b1", "s", 1, None), ("http://a/x/", "b2", "s", 2, None), ("http://a/y", "b", "s", 1, None)]
     spark.createDataFrame(rows, LANDED).write.parquet(str(tmp_path / "in"))

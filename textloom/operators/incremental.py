@@ -76,6 +76,7 @@ MANIFEST = T.StructType(
         T.StructField("size", T.LongType()),
         T.StructField("checksum", T.StringType()),
         T.StructField("batch_id", T.StringType()),
+        T.StructField("seq", T.LongType()),
     ]
 )
 
@@ -120,14 +121,16 @@ class FileBatches:
         done = self.manifest()
         if batch_id is not None and not done.where(F.col("batch_id") == batch_id).isEmpty():
             return None
-        latest = done.select("path", "checksum").distinct().withColumn("key", F.concat_ws(" ", "path", "checksum"))
-        found = self.listing(source, pattern).withColumn("key", F.concat_ws(" ", "path", "checksum"))
-        work = pending(found, latest, "key", "checksum").drop("key").orderBy("path").collect()
+        version = F.struct("size", "checksum")
+        latest = newest(done, ["path"], [F.col("seq")], ["size", "checksum"]).select("path", version.alias("version"))
+        found = self.listing(source, pattern).withColumn("version", version)
+        work = pending(found, latest, "path", "version").drop("version").orderBy("path").collect()
         if not work:
             return None
         batch_id = batch_id or uuid.uuid4().hex
         transform([r.path for r in work]).write.mode("overwrite").parquet(f"{self.root}/output/batch_id={batch_id}")
-        rows = self.spark.createDataFrame([(*r, batch_id) for r in work], MANIFEST)
+        seq = (done.agg(F.max("seq")).first()[0] or 0) + 1
+        rows = self.spark.createDataFrame([(*r, batch_id, seq) for r in work], MANIFEST)
         rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{batch_id}")
         return batch_id
 
