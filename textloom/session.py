@@ -44,6 +44,13 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for a CPU-bound stage: as its files are split, or shuffled if that makes fewer partitions
+    than there are cores."""
+    sc = df.sparkSession.sparkContext
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= sc.defaultParallelism else df.repartition(max(slots(df.sparkSession), sc.defaultParallelism))
+
+
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: like :func:`cut`, for rows of
     which later plans read different columns."""
