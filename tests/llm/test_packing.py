@@ -62,3 +62,25 @@ def test_matching_across_ranges():
         for r in range(low, high):
             pairs[r + offset][kind] = (part, r)
     assert sorted((v[0], v[1]) for v in pairs.values()) == [((0, 1), (2, 1)), ((0, 2), (1, 0)), ((1, 0), (2, 0))]
+
+
+def test_places_and_ranges_make_the_same_fill(spark):
+    """Small items for large containers, in one range and in several."""
+    rng = random.Random(7)
+    sizes = [rng.choice([3, 7, 11, rng.randint(1, 40), rng.randint(1, 900)]) for _ in range(400)]
+    used = []
+    for coalesce in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+        got = packed(spark, sizes, (1, 1000, "k"))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        held = defaultdict(int)
+        for r in got:
+            held[r.container] += r.size
+        assert len(got) == len(sizes) and sum(held.values()) == sum(sizes) and max(held.values()) <= 1000
+        used.append(len(held))
+    assert max(used) <= best_fit_decreasing(sizes, 1000) + 2
+
+
+def test_gaps_of_a_range_are_one_segment():
+    got = packing._segments([(1, 0, 0, 2, 3, 5), (1, 1, 2, 0, 1, 7), (1, 0, 1, 0, 1, 8), (1, 1, 2, 1, 2, 7)])
+    assert sorted(got) == [(1, 0, 0, 2, 3, 5), (1, 0, 1, 0, 1, 8), (1, 1, 2, 0, 2, 7)]

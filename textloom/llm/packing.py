@@ -1,61 +1,92 @@
 """Filling containers of fixed capacity by bulk-synchronous best fit.
 
 In each round the items not yet placed and the gaps of the containers are range-sorted together by
-size. A sweep upwards over every range gives each gap the largest item before it that is still
-free, which is its best fit; what a range can't match by itself, items whose gaps lie in later
-ranges, is matched across ranges by rank, from counts of each range alone. The gaps are then
-updated, and the next round begins. When no item fits any gap, new containers are opened, as many
-as the remaining items need by volume. Nothing but counts by range comes to the driver.
+size. A sweep upwards over every range gives each gap the largest item before it that is still free,
+which is its best fit, and goes on with what is left of the gap as long as the next item fits. What a
+range can't match by itself, items whose gaps lie in later ranges, is matched across ranges by rank,
+from counts of each range alone; there a gap has as many places as the largest free item fits into
+it. The gaps are then updated, and the next round begins. When no item fits any gap, new containers
+are opened, as many as the remaining items need by volume. Nothing but counts by range comes to the
+driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut
-
-#: Items below capacity / BUNDLE travel together, so that a container has at most about this many
-#: rounds to go through.
-BUNDLE = 64
-
-_SWEPT = "limit_id int, part int, kind int, rank long, id string, value long, mate string"
-
-
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sweeps one range, rows ordered by (limit_id, value, kind, id); kind 0 are items, 1 gaps. A
-    matched gap comes out with its item as ``mate``; what is left with its rank from the bottom."""
-    part = TaskContext.get().partitionId()
-    out: list[tuple] = []
-    limit, free, gaps = None, [], []
-
-    def finish() -> None:
-        for kind, rest in ((0, free), (1, gaps)):
-            for rank, (i, v) in enumerate(rest):
-                out.append((limit, part, kind, rank, i, v, None))
-
-    for frame in frames:
-        for lim, v, kind, i in zip(frame["limit_id"].tolist(), frame["value"].tolist(), frame["kind"].tolist(), frame["id"].tolist(), strict=True):
-            if lim != limit:
-                finish()
-                limit, free, gaps = lim, [], []
-            if kind == 0:
-                free.append((i, v))
-            elif free:
-                item, size = free.pop()
-                out.append((lim, part, 1, -1, i, v - size, item))
-            else:
-                gaps.append((i, v))
-        if len(out) > 100_000:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SWEPT.split(", ")])
-            out = []
-    finish()
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in _SWEPT.split(", ")])
+from textloom.session import cut, slots
+
+#: What a row is: an item or a gap that is free, a gap after an item went in, an item placed, counts of a range.
+ITEM, GAP, CHANGED, PLACED, COUNTS = range(5)
+
+_STATE = ("limit_id", "value", "kind", "id", "part")
+_SWEPT = "limit_id int, range int, what int, rank long, id string, part int, value long, places long, container string, least long, most long, top long"
+_DEALT = "limit_id int, what int, id string, part int, value long, container string"
+_BATCH = 50_000
+
+
+class _Rows:
+    """Rows of a schema, handed on in record batches."""
+
+    def __init__(self, schema: str):
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+        self.schema = pa.schema([(n, kinds[k]) for n, k in map(str.split, schema.split(", "))])
+        self.rows: list[tuple] = []
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [[]] * len(self.schema)
+        out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+        self.rows = []
+        return out
+
+
+def _sweep(largest: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sweeps one range, rows ordered as _STATE. Free rows come out with their rank from the bottom
+    of the range: items by number, gaps by places. ``largest`` bounds the free items of each limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, out = TaskContext.get().partitionId(), _Rows(_SWEPT)
+        limit, free, rank, most = None, [], 0, 0
+
+        def finish() -> None:
+            if limit is None:
+                return
+            for k, (i, p, v) in enumerate(free):
+                out.rows.append((limit, here, ITEM, k, i, p, v, 1, None, None, None, None))
+            sizes = (free[0][2], free[-1][2]) if free else (None, None)
+            out.rows.append((limit, here, COUNTS, len(free), None, None, sum(x[2] for x in free), rank, None, sizes[0], most, sizes[1]))
+
+        for b in batches:
+            for lim, v, kind, i, p in zip(*(b.column(c).to_pylist() for c in _STATE), strict=True):
+                if lim != limit:
+                    finish()
+                    limit, free, rank, most = lim, [], 0, 0
+                if kind == ITEM:
+                    free.append((i, p, v))
+                elif free:
+                    while free and free[-1][2] <= v:
+                        item, part, size = free.pop()
+                        v -= size
+                        out.rows.append((lim, here, PLACED, None, item, part, size, None, i, None, None, None))
+                    if v:
+                        most = max(most, v)
+                        out.rows.append((lim, here, CHANGED, None, i, p, v, None, None, None, None, None))
+                else:
+                    n = max(1, v // largest.get(lim, v))
+                    most = max(most, v)
+                    out.rows.append((lim, here, GAP, rank, i, p, v, n, None, None, None, None))
+                    rank += n
+            if len(out.rows) >= _BATCH:
+                yield out.batch()
+        finish()
+        yield out.batch()
+
+    return run
 
 
 def _across(counts: list) -> list[tuple[int, int, int, int, int, int]]:
@@ -86,6 +117,42 @@ def _across(counts: list) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
+def _segments(matches: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches with the gaps of a range, whose numbers go on from one segment to the next, as one segment."""
+    gaps: dict[tuple[int, int], tuple[int, int]] = {}
+    for limit, kind, at, _, high, offset in matches:
+        if kind == GAP:
+            gaps[limit, at] = high, offset
+    return [m for m in matches if m[1] == ITEM] + [(limit, GAP, at, 0, high, offset) for (limit, at), (high, offset) in gaps.items()]
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts numbered items into the gaps that hold their numbers, rows ordered by (chunk, number, gap
+    first). An item whose gap begins in another chunk stays free."""
+    out, chunk, gap, until = _Rows(_DEALT), None, None, -1
+
+    def finish() -> None:
+        if gap and gap[3]:
+            out.rows.append((gap[0], GAP, gap[1], gap[2], gap[3], None))
+
+    for b in batches:
+        for c, number, what, lim, i, p, v, n in zip(*(b.column(c).to_pylist() for c in ("chunk", "number", "what", "limit_id", "id", "part", "value", "places")), strict=True):
+            if c != chunk or what == GAP:
+                finish()
+                chunk, gap = c, None
+            if what == GAP:
+                gap, until = [lim, i, p, v], number + n
+            elif gap and number < until:
+                gap[3] -= v
+                out.rows.append((lim, PLACED, i, p, v, gap[1]))
+            else:
+                out.rows.append((lim, ITEM, i, p, v, None))
+        if len(out.rows) >= _BATCH:
+            yield out.batch()
+    finish()
+    yield out.batch()
+
+
 def pieces(items: DataFrame, limits: DataFrame, item: str = "id", size: str = "size") -> DataFrame:
     """``(limit_id, capacity, item, part, size)``: each item for each limit; one above the capacity
     is split into full pieces and a rest."""
@@ -95,24 +162,6 @@ def pieces(items: DataFrame, limits: DataFrame, item: str = "id", size: str = "s
     return split.select("limit_id", "capacity", "item", "part", F.least(F.col("capacity"), F.col("size") - F.col("part") * F.col("capacity")).alias("size"))
 
 
-def _bundle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Names what travels together: runs of small items up to twice the bundle size."""
-    part, seq = TaskContext.get().partitionId(), 0
-    limit, room = None, -1
-    for f in frames:
-        names = []
-        for lim, cap, size, item, p in zip(f["limit_id"].tolist(), f["capacity"].tolist(), f["size"].tolist(), f["item"].tolist(), f["part"].tolist(), strict=True):
-            if size * BUNDLE >= cap:
-                names.append(f"{item}.{p}")
-                continue
-            if lim != limit or size > room:
-                limit, room = lim, max(size, 2 * cap // BUNDLE)
-                seq += 1
-            room -= size
-            names.append(f"b{part}.{seq}")
-        yield f.assign(id=names)
-
-
 def pack(items: DataFrame, limits: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """``(limit_id, container, item, part, size)``: the container of each piece of each item.
 
@@ -122,70 +171,76 @@ def pack(items: DataFrame, limits: DataFrame, max_rounds: int = 10_000) -> DataF
     their limit. Limits with a null or non-positive capacity take nothing. Repeated ids are packed
     as one item of the largest size.
     """
+    spark = items.sparkSession
     limits = limits.where("capacity > 0").select("limit_id", "capacity", "limit_key").distinct()
-    items = items.where(F.col("id").isNotNull()).groupBy("id", "limit_key").agg(F.max(F.coalesce("size", F.lit(0))).alias("size"))
-    all_pieces = pieces(items, limits)
-    order = ("limit_id", "size", "item", "part")
-    named = all_pieces.where("size > 0").repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = "limit_id int, capacity int, item string, part int, size long, id string"
-    named = cut(named.select("limit_id", "capacity", F.col("item").cast("string").alias("item"), "part", "size").mapInPandas(_bundle, schema))
-    left = cut(named.groupBy("limit_id", "capacity", "id").agg(F.sum("size").alias("value")))
-
-    placed: list[DataFrame] = []
-    # what fills a container by itself needs no search
-    whole = left.where("value = capacity").select("limit_id", F.concat(F.lit("w"), "id").alias("container"), "id")
-    placed.append(whole)
     capacities = {r.limit_id: r.capacity for r in limits.collect()}
-    left = left.where("value < capacity").select("limit_id", F.lit(0).alias("kind"), "id", "value")
-    gaps: DataFrame | None = None
-    spark = items.sparkSession
-    to_open = {r[0]: -(-r[1] // capacities[r[0]]) for r in left.groupBy("limit_id").agg(F.sum("value")).collect()}
+    items = items.where(F.col("id").isNotNull()).groupBy("id", "limit_key").agg(F.max(F.coalesce("size", F.lit(0))).alias("size"))
+    named = cut(pieces(items, limits).select("limit_id", "capacity", F.col("item").cast("string").alias("id"), "part", F.col("size").alias("value")))
+    placed = [
+        # what fills a container by itself needs no search
+        named.where("value = capacity").select("limit_id", F.concat(F.lit("w"), "id", F.lit("."), "part").alias("container"), "id", "part", "value"),
+        named.where("value <= 0").select("limit_id", F.lit("e").alias("container"), "id", "part", "value"),
+    ]
+    left = named.where("value > 0 AND value < capacity").select("limit_id", "value", F.lit(ITEM).alias("kind"), "id", "part")
+    parts: list[DataFrame] = [left]
+    to_open, largest = {}, {}
+    for limit, volume, top in left.groupBy("limit_id").agg(F.sum("value"), F.max("value")).collect():
+        to_open[limit], largest[limit] = -(-volume // capacities[limit]), top
     opened: dict[int, int] = {}
     for _ in range(max_rounds):
+        if not largest:
+            break
         for limit, n in to_open.items():
             first = opened.get(limit, 0)
-            new = spark.range(first, first + n).select(
-                F.lit(limit).cast("int").alias("limit_id"), F.lit(1).alias("kind"), F.concat(F.lit("c"), "id").alias("id"), F.lit(capacities[limit]).cast("long").alias("value")
-            )
-            gaps = new if gaps is None else gaps.unionByName(new)
             opened[limit] = first + n
-        if gaps is None:
-            break
-        both = left.unionByName(gaps)
-        swept = cut(
-            both.repartitionByRange("limit_id", "value", "kind", "id").sortWithinPartitions("limit_id", "value", "kind", "id").select("limit_id", "value", "kind", "id").mapInPandas(_sweep, _SWEPT)
-        )
-        counts = swept.where("rank >= 0").groupBy("limit_id", "part", "kind").count().collect()
-        rest = swept.where("rank >= 0")
-        matched = swept.where("rank < 0").select("limit_id", "id", "value", "mate")
-        segments = _across([tuple(c) for c in counts])
+            name = F.concat(F.lit("c"), "id").alias("id")
+            parts.append(spark.range(first, first + n).select(F.lit(limit).alias("limit_id"), F.lit(capacities[limit]).cast("long").alias("value"), F.lit(GAP).alias("kind"), name, F.lit(-1).alias("part")))
+        state = parts[0]
+        for p in parts[1:]:
+            state = state.unionByName(p)
+        swept = cut(state.repartitionByRange(*_STATE).sortWithinPartitions(*_STATE).mapInArrow(_sweep(largest), _SWEPT))
+        counts = swept.where(F.col("what") == COUNTS).select("limit_id", "range", "rank", "places", "least", "most", "top", "value").collect()
+        placed.append(swept.where(F.col("what") == PLACED).select("limit_id", "container", "id", "part", "value"))
+        least = {c.limit_id: min(x.least for x in counts if x.limit_id == c.limit_id and x.least) for c in counts if c.least}
+        largest = {c.limit_id: max(x.top for x in counts if x.limit_id == c.limit_id and x.top) for c in counts if c.top}
+        # a gap below the least free item is full
+        useful = F.coalesce(F.try_element_at(_map(least), F.col("limit_id")), F.lit(1 << 62))
+        free = swept.where((F.col("what") <= GAP) & ((F.col("what") == ITEM) | (F.col("value") >= useful)))
+        changed = swept.where((F.col("what") == CHANGED) & (F.col("value") >= useful)).select("limit_id", "value", F.lit(GAP).alias("kind"), "id", "part")
+        segments = _segments(_across([(c.limit_id, c.range, k, n) for c in counts for k, n in ((ITEM, c.rank), (GAP, c.places))]))
+        as_state = ("limit_id", "value", F.col("what").alias("kind"), "id", "part")
         if segments:
-            s = spark.createDataFrame(segments, "limit_id int, kind int, part int, low long, high long, offset long")
-            on = (rest.limit_id == s.limit_id) & (rest.kind == s.kind) & (rest.part == s.part) & (rest["rank"] >= s.low) & (rest["rank"] < s.high)
-            rest = cut(rest.join(F.broadcast(s), on, "left").select(rest.limit_id, rest.kind, "id", "value", (F.col("rank") + F.col("offset")).alias("number")))
-            a = rest.where("kind = 0 AND number IS NOT NULL").select("number", F.col("id").alias("mate"), F.col("value").alias("size"))
-            b = rest.where("kind = 1 AND number IS NOT NULL").select("limit_id", "id", "value", "number")
-            far = cut(b.join(a, "number").select("limit_id", "id", (F.col("value") - F.col("size")).alias("value"), "mate"))
-            matched = matched.unionByName(far)
-            rest = rest.where("number IS NULL").drop("number")
+            names = ("limit_id", "what", "range", "low", "high", "shift")
+            s = F.broadcast(spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*segments, strict=True), strict=True)})))
+            on = (free.limit_id == s.limit_id) & (free.what == s.what) & (free.range == s.range) & (free["rank"] >= s.low) & (free["rank"] < s.high)
+            matched = sum(x[4] - x[3] for x in segments if x[1] == ITEM)
+            number, size = free["rank"] + s["shift"], max(1000, -(-matched // slots(spark)))
+            places = F.least(free.places, s.high - free["rank"])
+            met = free.join(s, on).select(F.floor(number / size).alias("chunk"), number.alias("number"), free.what, free.limit_id, "id", "part", "value", places.alias("places"))
+            dealt = cut(met.repartition("chunk").sortWithinPartitions("chunk", "number", F.desc("what")).mapInArrow(_deal, _DEALT))
+            placed.append(dealt.where(F.col("what") == PLACED).select("limit_id", "container", "id", "part", "value"))
+            if matched == sum(c.rank for c in counts) and dealt.where(F.col("what") == ITEM).isEmpty():
+                break
+            parts = [free.join(s, on, "left_anti").select(*as_state), dealt.where(F.col("what") <= GAP).select(*as_state), changed]
         else:
-            rest = rest.select("limit_id", "kind", "id", "value")
-        placed.append(matched.select("limit_id", F.col("id").alias("container"), F.col("mate").alias("id")))
-        left = rest.where("kind = 0")
-        gaps = matched.where("value > 0").select("limit_id", F.lit(1).alias("kind"), "id", "value").unionByName(rest.where("kind = 1"))
-        remaining = {r[0]: (r[1], r[2]) for r in left.groupBy("limit_id").agg(F.sum("value"), F.min("value")).collect()}
-        if not remaining:
-            break
-        largest = {r[0]: r[1] for r in gaps.groupBy("limit_id").agg(F.max("value")).collect()}
-        to_open = {lim: -(-volume // capacities[lim]) for lim, (volume, least) in remaining.items() if largest.get(lim, 0) < least}
+            parts = [free.select(*as_state), changed]
+        to_open = {}
+        for limit in largest.keys() - {x[0] for x in segments}:
+            of = [c for c in counts if c.limit_id == limit]
+            if max(c.most for c in of) < least[limit]:
+                to_open[limit] = -(-sum(c.value for c in of) // capacities[limit])
     else:
         raise RuntimeError("the items were not placed within max_rounds")
     where = placed[0]
     for p in placed[1:]:
         where = where.unionByName(p)
-    out = named.join(where, ["limit_id", "id"]).select("limit_id", "container", "item", "part", "size")
-    empty = all_pieces.where("size <= 0").select("limit_id", F.lit("e").alias("container"), F.col("item").cast("string").alias("item"), "part", "size")
-    return out.unionByName(empty)
+    return where.select("limit_id", "container", F.col("id").alias("item"), "part", F.col("value").alias("size"))
+
+
+def _map(of: dict[int, int]):
+    if not of:
+        return F.create_map().cast("map<int,bigint>")
+    return F.create_map(*[x for k, v in of.items() for x in (F.lit(k).cast("int"), F.lit(v).cast("long"))])
 
 
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:

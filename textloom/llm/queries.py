@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm import markup, neardup, packing, reading, terms, tokenizer
 from textloom.functions.urls import epoch_seconds, normalize_url
 from textloom.operators.incremental import newest
-from textloom.session import cut, read, slots
+from textloom.session import cut, read, spread
 
 
 def p1_frequency(spark: SparkSession, base: str) -> DataFrame:
@@ -64,14 +64,14 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:
-    docs = read(spark, base, "documents").select("doc_id", "text").repartition(slots(spark))
+    docs = spread(read(spark, base, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
 
 
 def _packed(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     limits = read(spark, base, "pack_limits").select("limit_id", "capacity", F.col("tokenizer").alias("limit_key"))
     names = sorted(r[0] for r in limits.select("limit_key").distinct().collect() if r[0])
-    docs = read(spark, base, "documents").select("doc_id", "text").repartition(slots(spark))
+    docs = spread(read(spark, base, "documents").select("doc_id", "text"))
     n = cut(docs.select("doc_id", tokenizer.count_tokens(F.col("text"), names).alias("n")))
     sizes = F.explode(F.array(*[F.struct(F.lit(t).alias("limit_key"), F.col(f"n.`{t}`").alias("size")) for t in names]))
     items = n.select(F.col("doc_id").alias("id"), sizes.alias("s")).select("id", "s.limit_key", "s.size")
