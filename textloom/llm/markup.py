@@ -465,7 +465,7 @@ def prose(block: str) -> list[str]:
     if "{{" in rest or "[" in rest:
         rest = _OUT_LINKS.sub("", rest)
     lines = rest.split("\n")
-    markdown = bool(_MARKDOWN.search(block))
+    markdown = "#" in block and bool(_MARKDOWN.search(block))
     rest = "\n".join(line for line, kind in zip(lines, _line_kinds(lines, markdown), strict=True) if not kind)
     if "&" in rest:
         rest = html.unescape(rest)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.llm import markup, neardup, packing, reading, terms, tokenizer
 from textloom.functions.urls import epoch_seconds, normalize_url
 from textloom.operators.incremental import newest
-from textloom.session import cut, read, spread
+from textloom.session import cut, keep, read, spread
 
 
 def p1_frequency(spark: SparkSession, base: str) -> DataFrame:
@@ -36,19 +36,20 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return terms.distinctive_terms(scored, 0.12).select(F.col("record").alias("doc_id"), "term")
 
 
-def _current_pages(spark: SparkSession, base: str) -> DataFrame:
-    """``(member, node, page)``: each manifest entry with the current record of its page."""
+def _current_pages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    """``(member, node)``: each manifest entry with the current record of its page, and ``(node, page)`` of these records."""
     raw = read(spark, base, "raw_documents")
     rows = raw.where(F.col("url").isNotNull()).select(normalize_url(F.col("url")).alias("url"), epoch_seconds(F.col("crawl_time")).alias("_t"), "landed_at", "raw_id")
     current = newest(rows, ["url"], [F.col("_t"), F.col("landed_at")], ["raw_id"])
     entries = read(spark, base, "manifest").where(F.col("url").isNotNull()).select("doc_id", "url").distinct()
-    of = entries.join(current, "url").select(F.col("doc_id").alias("member"), F.col("raw_id").alias("node"))
-    return of.join(raw.select(F.col("raw_id").alias("node"), F.col("raw_html").alias("page")), "node")
+    members = keep(entries.join(current, "url").select(F.col("doc_id").alias("member"), F.col("raw_id").alias("node")))
+    pages = raw.where(F.col("raw_html").isNotNull()).select(F.col("raw_id").alias("node"), F.col("raw_html").alias("page"))
+    return members, pages.join(members.select("node").distinct(), "node", "left_semi")
 
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
     """Group of every record: ``field``, ``doc_id``, ``group_id``; records in no comparison are left out."""
-    pages = neardup.page_groups(_current_pages(spark, base)).select(F.lit("raw_html").alias("field"), F.col("member").alias("doc_id"), F.col("group").alias("group_id"))
+    pages = neardup.page_groups(*_current_pages(spark, base)).select(F.lit("raw_html").alias("field"), F.col("member").alias("doc_id"), F.col("group").alias("group_id"))
     titles = neardup.title_groups(read(spark, base, "manifest").select(F.col("doc_id").alias("member"), "title"))
     return pages.unionByName(titles.select(F.lit("title").alias("field"), F.col("member").alias("doc_id"), F.col("group").alias("group_id")))
 
