@@ -44,7 +44,8 @@ def _current_pages(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame
     entries = read(spark, base, "manifest").where(F.col("url").isNotNull()).select("doc_id", "url").distinct()
     members = keep(entries.join(current, "url").select(F.col("doc_id").alias("member"), F.col("raw_id").alias("node")))
     pages = raw.where(F.col("raw_html").isNotNull()).select(F.col("raw_id").alias("node"), F.col("raw_html").alias("page"))
-    return members, pages.join(members.select("node").distinct(), "node", "left_semi")
+    # shuffled at any size: the stage that reads the pages is bound by the CPU, and files may be few
+    return members, pages.hint("merge").join(members.select("node").distinct(), "node", "left_semi")
 
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
