@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import codec, porter, text
+from textloom.session import checkpoint_dir, files, keep, publish, version
 
 VERSION = 2
 
@@ -30,14 +33,18 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     return porter.add_stem(counts.select("token").distinct(), "token", "term")
 
 
+def stemmed(counts: DataFrame) -> DataFrame:
+    """``(term, doc_id, tf)`` of token counts: these alone meet the stems of the vocabulary. A stem
+    that is empty is no term."""
+    terms = counts.join(vocabulary(counts), "token").where("term <> ''")
+    return terms.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+
+
 def postings(docs: DataFrame, stemming: bool = True, body: str = "text") -> DataFrame:
     """``(term, doc_id, tf)``, one row for each term of each document. Words are counted within
     documents first; only the counts meet the stems of the vocabulary."""
     counts = token_counts(docs, body)
-    if not stemming:
-        return counts.select(F.col("token").alias("term"), "doc_id", "tf")
-    stemmed = counts.join(vocabulary(counts), "token")
-    return stemmed.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
+    return stemmed(counts) if stemming else counts.select(F.col("token").alias("term"), "doc_id", "tf")
 
 
 def document_lengths(docs: DataFrame, body: str = "text") -> DataFrame:
@@ -53,36 +60,47 @@ def forward(docs: DataFrame, title: Column, url: Column, body: str = "text") ->
     return docs.select("doc_id", title.alias("title"), url.alias("url"), F.size(text.tokens(F.col(body))).cast("long").alias("total_tokens"))
 
 
+#: Documents with the same id divided by this share a block of a posting list.
+BLOCK = 1 << 16
+
+
 def postings_lists(p: DataFrame) -> DataFrame:
-    """Compact form: for each term its documents, ascending, and their tf in the same order."""
+    """For each term its documents, ascending, and their tf in the same order: one row holds a whole
+    list. Lists of any length are stored in blocks, see :func:`postings_blocks`."""
     lists = p.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
     return lists.select("term", F.col("l.doc_id").alias("doc_ids"), F.col("l.tf").alias("tfs"), F.size("l").cast("long").alias("df"))
 
 
+def postings_blocks(p: DataFrame) -> DataFrame:
+    """``(term, block, n, doc_ids, tfs)``: posting lists cut by document id, so that no row holds more than BLOCK postings."""
+    lists = p.groupBy("term", F.floor(F.col("doc_id") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("l"))
+    return lists.select("term", "block", F.size("l").alias("n"), F.col("l.doc_id").alias("doc_ids"), F.col("l.tf").alias("tfs"))
+
+
 def encoded_postings(p: DataFrame) -> DataFrame:
-    """Posting block of each term: the deltas of the documents, then the tfs, in variable bytes."""
-    lists = postings_lists(p)
-    return lists.select(
-        "term", "df", F.concat(codec.vbyte_encode(codec.deltas(F.col("doc_ids"))), codec.vbyte_encode("tfs")).alias("block")
-    )
+    """``(term, block, n, code)``: of each block the deltas of the documents, then the tfs, in variable
+    bytes. The first document counts from the beginning of its block, so blocks can be read alone."""
+    b = postings_blocks(p)
+    inside = F.transform("doc_ids", lambda d: d - F.col("block") * BLOCK)
+    return b.select("term", "block", "n", codec.vbyte_encode(F.concat(codec.deltas(inside), "tfs")).alias("code"))
 
 
 def decoded_postings(blocks: DataFrame) -> DataFrame:
     """Postings out of their blocks."""
-    v = blocks.select("term", codec.vbyte_decode("block").alias("v"), F.col("df").cast("int").alias("n"))
-    both = v.select("term", codec.undo_deltas(F.slice("v", F.lit(1), F.col("n"))).alias("d"), F.slice("v", F.col("n") + 1, F.col("n")).alias("t"))
-    return both.select("term", F.explode(F.arrays_zip("d", "t")).alias("x")).select("term", F.col("x.d").alias("doc_id"), F.col("x.t").alias("tf"))
+    v = blocks.select("term", "block", "n", codec.vbyte_decode("code").alias("v"))
+    both = v.select("term", "block", codec.undo_deltas(F.slice("v", F.lit(1), F.col("n"))).alias("d"), F.slice("v", F.col("n") + 1, F.col("n")).alias("t"))
+    return both.select("term", "block", F.explode(F.arrays_zip("d", "t")).alias("x")).select("term", (F.col("x.d") + F.col("block") * BLOCK).alias("doc_id"), F.col("x.t").alias("tf"))
 
 
 def posting_deltas(p: DataFrame) -> DataFrame:
     """Each posting with its distance from the one before it in its list. Frequent terms make long
-    lists, so lists are cut by blocks of document ids; a block starts from the end of the one before."""
-    block = 1 << 16
-    b = p.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / block).alias("blk"))
-    ends = b.groupBy("term", "blk").agg(F.max("doc_id").alias("hi"))
-    before = ends.select("term", "blk", F.expr("lag(hi) OVER (PARTITION BY term ORDER BY blk)").alias("prev"))
+    lists, so lists are cut by blocks of document ids; a block starts from the end of the one before.
+    Blocks are sorted once: the first posting of each carries the block's end over to the next one's."""
+    b = p.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / BLOCK).alias("blk"))
     inside = b.select("*", F.expr("lag(doc_id) OVER (PARTITION BY term, blk ORDER BY doc_id)").alias("near"))
-    j = inside.join(before, ["term", "blk"])
+    ends = b.groupBy("term", "blk").agg(F.max("doc_id").alias("hi"))
+    before = ends.select("term", "blk", F.expr("lag(hi) OVER (PARTITION BY term ORDER BY blk)").alias("prev")).where("prev IS NOT NULL")
+    j = inside.join(before, ["term", "blk"], "left")
     return j.select("term", "doc_id", "tf", (F.col("doc_id") - F.coalesce("near", "prev", F.lit(0))).alias("delta"))
 
 
@@ -104,6 +122,14 @@ def index_size(p: DataFrame, docs: DataFrame) -> DataFrame:
     return one.select((fixed + 8 * F.col("postings")).cast("long").alias("plain_bytes"), (fixed + F.col("coded")).cast("long").alias("coded_bytes"))
 
 
+SCHEMAS = {
+    "postings": "term string, doc_id long, tf long, doc_len long",
+    "terms": "term string, df long, cf long",
+    "docs": "doc_id long, title string, url string, total_tokens long",
+    "meta": "version int, num_docs long, num_terms long, num_postings long, stemming boolean",
+}
+
+
 @dataclass
 class Index:
     """The index's tables: ``postings(term, doc_id, tf, doc_len)``, ``terms(term, df, cf)``,
@@ -114,39 +140,102 @@ class Index:
     docs: DataFrame
     meta: DataFrame
     stemming: bool = True
+    path: str | None = None
+    _size: int | None = None
+    _counts: DataFrame | None = None
+
+    @property
+    def num_docs(self) -> int:
+        if self._size is None:
+            self._size = self.meta.first().num_docs
+        return self._size
 
     @staticmethod
     def of(docs: DataFrame, title: Column | None = None, url: Column | None = None, stemming: bool = True, body: str = "text") -> Index:
         """Index of documents ``(doc_id, body)``, lazily; ids must be unique. Every document counts
         in the size of the collection, whether it has tokens or not."""
         none = F.lit(None).cast("string")
-        p = postings(docs, stemming, body)
+        counts = token_counts(docs, body)
+        p = stemmed(counts) if stemming else counts.withColumnRenamed("token", "term")
         d = forward(docs, none if title is None else title, none if url is None else url, body)
         t = term_table(p)
         p = p.join(d.select("doc_id", F.col("total_tokens").alias("doc_len")), "doc_id")
-        counts = t.agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_postings"))
-        meta = d.agg(F.count("*").alias("num_docs")).join(F.broadcast(counts)).select(F.lit(VERSION).alias("version"), "*", F.lit(stemming).alias("stemming"))
-        return Index(p, t, d, meta, stemming)
-
-    def write(self, path: str) -> Index:
-        """Writes the tables, the meta row last, and reads them back. Postings are sorted by term and
-        document over the whole table, so that a query for a term reads few row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        p = self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
-        p.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+        num = t.agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_postings"))
+        meta = d.agg(F.count("*").alias("num_docs")).join(F.broadcast(num)).select(F.lit(VERSION).alias("version"), "*", F.lit(stemming).alias("stemming"))
+        return Index(p, t, d, meta, stemming, _counts=counts)
+
+    def write(self, path: str, compress: bool = False) -> Index:
+        """Writes the tables, the meta row last, and reads them back. Texts are tokenized once for the
+        documents and once for the postings. Postings are sorted by term and document over the whole
+        table, so that a query for a term reads few row groups. With ``compress``, the posting blocks
+        are written in variable bytes besides, in ``coded``."""
         spark = self.postings.sparkSession
-        written = spark.read.parquet(f"{path}/postings")
-        t = term_table(written)
-        t.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-        counts = spark.read.parquet(f"{path}/terms").agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_postings"))
-        meta = spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("num_docs")).join(F.broadcast(counts))
-        meta.select(F.lit(VERSION).alias("version"), "*", F.lit(self.stemming).alias("stemming")).write.mode("overwrite").parquet(f"{path}/meta")
+
+        def put(name: str, df: DataFrame, *order: str) -> DataFrame:
+            df = df.selectExpr(*[f"CAST({c.split()[0]} AS {c.split()[1]})" for c in SCHEMAS[name].split(", ")])
+            if order:
+                df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            w = df.write.mode("overwrite")
+            (w.option("parquet.bloom.filter.enabled#term", "true") if "term" in order else w).parquet(f"{path}/{name}")
+            return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+
+        d = put("docs", self.docs, "doc_id")
+        p = self.postings
+        if self._counts is not None:
+            counts = keep(self._counts)
+            p = stemmed(counts) if self.stemming else counts.withColumnRenamed("token", "term")
+            p = p.join(d.select("doc_id", F.col("total_tokens").alias("doc_len")), "doc_id")
+        p = put("postings", p, "term", "doc_id")
+        t = put("terms", term_table(p), "term")
+        if compress:
+            encoded_postings(p).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/coded")
+        num = t.agg(F.count("*").alias("num_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("num_postings"))
+        meta = d.agg(F.count("*").alias("num_docs")).join(F.broadcast(num))
+        put("meta", meta.select(F.lit(VERSION).alias("version"), "*", F.lit(self.stemming).alias("stemming")))
         return Index.open(spark, path)
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Index:
-        t = {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "terms", "docs", "meta")}
+        """The index under ``path``. Of its tables the meta row alone is read now."""
+        t = {n: spark.read.schema(s).parquet(f"{path}/{n}") for n, s in SCHEMAS.items()}
         meta = t["meta"].first()
-        if meta.version != VERSION:
-            raise ValueError(f"the index has version {meta.version}, not {VERSION}")
-        return Index(**t, stemming=meta.stemming)
+        if meta is None or meta.version != VERSION:
+            raise ValueError(f"the index has version {meta and meta.version}, not {VERSION}")
+        return Index(**t, stemming=meta.stemming, path=path, _size=meta.num_docs)
+
+    def coded(self) -> DataFrame:
+        """The posting blocks in variable bytes, of an index written with ``compress``."""
+        return self.postings.sparkSession.read.parquet(f"{self.path}/coded")
+
+    def bytes_stored(self) -> dict[str, int]:
+        """Bytes of each table's files."""
+        spark = self.postings.sparkSession
+        return {n: sum(size for _, size, _ in files(spark, f"{self.path}/{n}")) for n in (*SCHEMAS, "coded")}
+
+    def close(self) -> None:
+        """Deletes an index that was made for this session; one at a place of its own stays."""
+        if self.path and self.path.startswith(f"{checkpoint_dir(self.meta.sparkSession).rstrip('/')}/index-"):
+            spark = self.meta.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _OPEN.pop((spark.sparkContext.applicationId, self.path), None)
+
+
+_OPEN: dict[tuple[str, str], Index] = {}
+
+
+def stored_index(spark: SparkSession, source: str, build: Callable[[], Index], name: str = "", anew: bool = False) -> Index:
+    """The index of the table under ``source``, built once for each version of its files and opened
+    from then on. It lies in the shared folder, complete or not at all. ``name`` tells indexes of
+    one table apart; ``anew`` builds it again in any case, beside the one there is."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/index-{name}{version(spark, source)}"
+    at = spark.sparkContext.applicationId, path
+    if anew:
+        return build().write(f"{path}-{uuid.uuid4().hex}")
+    if at not in _OPEN:
+        if not files(spark, f"{path}/meta"):
+            made = f"{path}-{uuid.uuid4().hex}"
+            build().write(made)
+            publish(spark, made, path)
+        _OPEN[at] = Index.open(spark, path)
+    return _OPEN[at]

@@ -49,8 +49,9 @@ def _docs(spark: SparkSession, base: str) -> DataFrame:
     return read(spark, base, "documents")
 
 
-def _index(spark: SparkSession, base: str, stemming: bool = True) -> index.Index:
-    return index.Index.of(_docs(spark, base), F.col("source"), F.col("url"), stemming)
+def _index(spark: SparkSession, base: str, anew: bool = False) -> index.Index:
+    """The index of the documents, built by the first query that needs it and opened by the others."""
+    return index.stored_index(spark, f"{base}/documents.parquet", lambda: index.Index.of(_docs(spark, base), F.col("source"), F.col("url")), anew=anew)
 
 
 # --- tokenizer and stemmer ---
@@ -110,10 +111,16 @@ def forward_index(spark, base):
 
 @query(f"WITH {_STEMMED} SELECT 2 AS version, (SELECT count(*) FROM documents) AS num_docs, count(DISTINCT term) AS num_terms, count(*) AS num_postings, true AS stemming FROM p")
 def index_stats(spark, base):
-    m = _index(spark, base).meta
+    m = index.Index.of(_docs(spark, base), F.col("source"), F.col("url")).meta
     return m.select("version", "num_docs", "num_terms", "num_postings", "stemming")
 
 
+@query(f"WITH {_STEMMED} SELECT 2 AS version, (SELECT count(*) FROM documents) AS num_docs, count(DISTINCT term) AS num_terms, count(*) AS num_postings, true AS stemming FROM p")
+def build_index(spark, base):
+    """Builds and writes the whole index, and opens it again."""
+    return _index(spark, base, anew=True).meta
+
+
 @query(f"WITH {_PLAIN} SELECT term, count(*) AS df, array_to_string(list(doc_id ORDER BY doc_id), ' ') AS doc_ids, array_to_string(list(tf ORDER BY doc_id), ' ') AS tfs FROM p GROUP BY term")
 def postings_list(spark, base):
     lists = index.postings_lists(index.postings(_docs(spark, base), stemming=False))
@@ -174,7 +181,7 @@ def tfidf(spark, base):
     return p.select("term", "doc_id", F.round(search.tfidf(F.col("tf"), F.col("doc_len"), F.col("num_docs"), F.col("df")), 9).alias("tfidf"))
 
 
-# --- boolean queries: joins of posting lists, and the fused plan ---
+# --- boolean queries: with the tfs of the match, and without ---
 
 
 def _t(*words: str) -> list[str]:
@@ -182,7 +189,7 @@ def _t(*words: str) -> list[str]:
 
 
 _LIVER, _THERAPY, _SKIN, _STUDY = _t("liver", "therapy", "skin", "study")
-_BY_JOIN = {
+_WITH_TF = {
     "bool_term": ("liver", f"SELECT doc_id, tf FROM {_LIVER}"),
     "bool_and": ("liver && therapy", f"SELECT a.doc_id, a.tf + b.tf AS tf FROM {_LIVER} a JOIN {_THERAPY} b USING (doc_id)"),
     "bool_or": ("liver || skin", f"SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT * FROM {_LIVER} UNION ALL SELECT * FROM {_SKIN}) GROUP BY doc_id"),
@@ -203,13 +210,13 @@ _FUSED = {
 def _boolean(name: str, text_of: str, sql: str, fused: bool) -> None:
     def run(spark, base):
         i = _index(spark, base)
-        return search.scored(i, text_of).select("doc_id") if fused else search.joined(i, text_of)
+        return search.scored(i, text_of).select("doc_id") if fused else search.matched(i, text_of)
 
     QUERIES[name] = run
     SQL[name] = f"WITH {_STEMMED} {sql}"
 
 
-for _name, (_q, _s) in _BY_JOIN.items():
+for _name, (_q, _s) in _WITH_TF.items():
     _boolean(_name, _q, _s, fused=False)
 for _name, (_q, _s) in _FUSED.items():
     _boolean(_name, _q, _s, fused=True)

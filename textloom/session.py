@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -57,3 +58,34 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, size and modification time of the files under ``path``, from the file system's listing."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    if fs.getFileStatus(root).isFile():
+        s = fs.getFileStatus(root)
+        return [(s.getPath().toString(), s.getLen(), s.getModificationTime())]
+    out, it = [], fs.listFiles(root, True)
+    while it.hasNext():
+        s = it.next()
+        out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
+def version(spark: SparkSession, path: str) -> str:
+    """A name for what is stored under ``path`` now: another one after any of its files has changed."""
+    return hashlib.sha1(repr(files(spark, path)).encode()).hexdigest()[:20]
+
+
+def publish(spark: SparkSession, made: str, path: str) -> None:
+    """Moves a folder that is complete to its place; if another run was first, its folder stays."""
+    jvm = spark._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
+    fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(b) or not fs.rename(a, b):
+        fs.delete(a, True)
