@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +57,13 @@ def vbyte_decode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(decode_values, na_action="ignore")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def undo_deltas(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in it:
-        yield s.map(np.cumsum, na_action="ignore")
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def undo_deltas(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Running sums of arrays, of a whole batch at once."""
+    for a in it:
+        offsets = a.offsets.to_numpy()
+        flat = a.flatten().to_numpy(zero_copy_only=False)
+        sums = np.concatenate([[0], np.cumsum(flat)])
+        starts = offsets[:-1] - offsets[0]
+        sizes = np.diff(offsets)
+        yield pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(sums[1:] - np.repeat(sums[starts], sizes), pa.int64()), mask=a.is_null())

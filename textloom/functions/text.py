@@ -61,9 +61,20 @@ def lenient_int(text: Column) -> Column:
 
 
 def format_size(size: Column) -> Column:
-    """Bytes for people, with two decimals, in units of 1024."""
+    """Bytes for people, with two decimals (ties to the even one), in units of 1024."""
     return (
-        F.when(size >= 1048576, F.format_string("%.2f MB", size / 1048576))
-        .when(size >= 1024, F.format_string("%.2f KB", size / 1024))
+        F.when(size >= 1048576, F.format_string("%.2f MB", F.bround(size / 1048576, 2)))
+        .when(size >= 1024, F.format_string("%.2f KB", F.bround(size / 1024, 2)))
         .otherwise(F.concat(size.cast("string"), F.lit(" B")))
     )
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def first_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of a text that has at most ``most`` bytes, no character cut in two."""
+    b = F.substring(F.encode(text, "UTF-8"), 1, most)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.decode(b, "UTF-8"), "\ufffd+$", ""))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions.text import one_line
+from textloom.session import keep
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -106,11 +108,15 @@ def extracted(raw: DataFrame) -> DataFrame:
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "doc_id") -> DataFrame:
     """Rows numbered from 0 in ``order``, which must be unique, without bringing them to one task:
-    rows are numbered within ranges, and a range's offset comes from the counts of those before it."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    fields = [*ranged.schema.fields, T.StructField(name, T.LongType())]
-    numbered = ranged.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, T.StructType(fields))
+    rows are numbered within ranges, and a range's offset comes from the counts of those before it.
+    The ranges are written once, so that counts and numbers are of the same ranges; a count for each
+    range comes to the driver."""
+    ranged = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = sorted(ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    first = pa.table({"_part": pa.array([c.p for c in counts], pa.int64()), "_first": pa.array(list(accumulate([0, *(c.n for c in counts)]))[:-1] if counts else [], pa.int64())})
+    numbered = ranged.withColumn("_part", part).join(F.broadcast(df.sparkSession.createDataFrame(first)), "_part")
+    return numbered.select(*df.columns, (F.col("_first") + within).alias(name))
 
 
 def corpus(raw: DataFrame, order: list[str]) -> DataFrame:

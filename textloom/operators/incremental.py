@@ -14,10 +14,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from textloom.functions.urls import epoch_seconds, normalize_url, stored_hash
-from textloom.session import read
+from textloom.functions.urls import content_hash, epoch_seconds, normalize_url, stored_hash
+from textloom.session import checkpoint_dir, cut, files, publish, read
 
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], values: list[str]) -> DataFrame:
@@ -70,75 +69,116 @@ def changed_pages(raw: DataFrame, state: DataFrame, runs: DataFrame) -> DataFram
     return pending(current_pages(raw), manifest, "url", "content_hash").select("url", "content_hash")
 
 
-MANIFEST = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("checksum", T.StringType()),
-        T.StructField("batch_id", T.StringType()),
-        T.StructField("seq", T.LongType()),
-    ]
-)
+MANIFEST = "path string, size long, modified timestamp, checksum string, batch_id string, seq long"
 
 
 class FileBatches:
     """Runs a transformation over the input files that are new or changed.
 
-    ``root`` is a folder all executors share. ``manifest/`` holds one committed file per batch,
-    ``output/batch_id=…`` the rows of a batch. Output of batches without a commit is invisible to
-    :meth:`output` and replaced when the batch is tried again.
+    ``root`` is a folder all executors share. ``manifest/`` holds the committed rows of each batch,
+    moved there as a whole when its output is complete, ``output/batch_id=…`` the rows of a batch.
+    Output of batches without a commit is invisible and replaced when the batch is tried again. A
+    file that is no longer there is committed with a null checksum.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def listing(self, source: str, pattern: str = "*") -> DataFrame:
-        """Path, size and checksum of the input files. Checksums are made on the executors."""
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
-        return files.select("path", F.col("length").alias("size"), F.md5("content").alias("checksum"))
+    def _files(self, source: str | list[str], pattern: str) -> DataFrame:
+        return self.spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(source)
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def listing(self, source: str, pattern: str = "*") -> DataFrame:
+        """Path, size and time of the input files; their content is not read."""
+        return self._files(source, pattern).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
     def manifest(self) -> DataFrame:
-        if not self._exists(f"{self.root}/manifest"):
+        if not files(self.spark, f"{self.root}/manifest"):
             return self.spark.createDataFrame([], MANIFEST)
         return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/*")
 
+    def latest(self) -> DataFrame:
+        """The newest committed row of each path."""
+        return newest(self.manifest(), ["path"], [F.col("seq")], ["size", "modified", "checksum", "batch_id"])
+
     def output(self) -> DataFrame | None:
-        """Rows of the committed batches, with their ``batch_id``; nothing before the first."""
-        ids = [r[0] for r in self.manifest().select("batch_id").distinct().toLocalIterator()]
-        if not ids:
+        """Rows of all committed batches, with their ``batch_id``; nothing before the first. It is a
+        log: rows of versions of a file that a later batch replaced stay in it."""
+        ids = [r[0] for r in self.manifest().select("batch_id").distinct().collect()]  # one for each run
+        paths = [f"{self.root}/output/batch_id={b}" for b in ids if files(self.spark, f"{self.root}/output/batch_id={b}")]
+        if not paths:
             return None
-        paths = [f"{self.root}/output/batch_id={b}" for b in ids]
-        return self.spark.read.option("basePath", f"{self.root}/output").parquet(*paths)
+        return self.spark.read.option("basePath", f"{self.root}/output").option("recursiveFileLookup", "false").parquet(*paths)
 
-    def run(self, source: str, transform: Callable[[list[str]], DataFrame], pattern: str = "*", batch_id: str | None = None) -> str | None:
+    def current(self, path: str = "path") -> DataFrame | None:
+        """Of the rows that name the input they come from in ``path``, those of the newest version of each file that is still there."""
+        rows = self.output()
+        if rows is None:
+            return None
+        now = self.latest().where(F.col("checksum").isNotNull()).select(F.col("path").alias(path), F.col("batch_id").cast("string").alias("_batch"))
+        at = rows.withColumn("_batch", F.col("batch_id").cast("string"))
+        return at.join(now, [path, "_batch"], "left_semi").drop("_batch")
+
+    def run(self, source: str, transform: Callable[[list[str]], DataFrame], pattern: str = "*", batch_id: str | None = None, most: int = 10_000) -> str | None:
         """Processes what is pending as one batch; the batch's identifier, or nothing if there was
-        no work or that batch is already committed. ``transform`` gets the paths of the files."""
+        no work or that batch is already committed. ``transform`` gets the paths of the files, at
+        most ``most`` in a batch; what is beyond stays pending, and the next run takes it.
+
+        Only files whose size or time differs from the manifest's are read for their checksum; one
+        whose content is the same after all is committed as part of the batch that has its rows."""
         done = self.manifest()
         if batch_id is not None and not done.where(F.col("batch_id") == batch_id).isEmpty():
             return None
-        version = F.struct("size", "checksum")
-        latest = newest(done, ["path"], [F.col("seq")], ["size", "checksum"]).select("path", version.alias("version"))
-        found = self.listing(source, pattern).withColumn("version", version)
-        work = pending(found, latest, "path", "version").drop("version").orderBy("path").collect()
-        if not work:
+        latest = cut(self.latest())
+        seen = latest.where(F.col("checksum").isNotNull())
+        found = self.listing(source, pattern)
+        same = (found.path == seen.path) & (found.size == seen.size) & (found.modified == seen.modified)
+        paths = [r.path for r in found.join(seen, same, "left_anti").orderBy("path").limit(most).collect()]
+        gone = seen.select("path", "batch_id").join(found.select("path"), "path", "left_anti")
+        if not paths and gone.isEmpty():
             return None
         batch_id = batch_id or uuid.uuid4().hex
-        transform([r.path for r in work]).write.mode("overwrite").parquet(f"{self.root}/output/batch_id={batch_id}")
         seq = (done.agg(F.max("seq")).first()[0] or 0) + 1
-        rows = self.spark.createDataFrame([(*r, batch_id, seq) for r in work], MANIFEST)
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/{batch_id}")
-        return batch_id
+        commit = gone.select("path", F.lit(-1).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified"), F.lit(None).cast("string").alias("checksum"), F.lit(batch_id).alias("batch_id"))
+        changed = False
+        if paths:
+            read = self._files(paths, pattern).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.md5("content").alias("checksum"))
+            before = seen.select("path", F.col("checksum").alias("_had"), F.col("batch_id").alias("_batch"))
+            read = cut(read.join(before, "path", "left").withColumn("_new", ~F.col("checksum").eqNullSafe(F.col("_had"))))
+            work = [r.path for r in read.where("_new").select("path").orderBy("path").collect()]
+            changed = bool(work)
+            if work:
+                transform(work).write.mode("overwrite").parquet(f"{self.root}/output/batch_id={batch_id}")
+            commit = commit.unionByName(read.select("path", "size", "modified", "checksum", F.when(F.col("_new"), F.lit(batch_id)).otherwise(F.col("_batch")).alias("batch_id")))
+        self._commit(commit.withColumn("seq", F.lit(seq).cast("long")), batch_id)
+        return batch_id if changed or not gone.isEmpty() else None
+
+    def _commit(self, rows: DataFrame, batch_id: str) -> None:
+        made = f"{self.root}/uncommitted/{batch_id}"
+        rows.write.mode("overwrite").parquet(made)
+        publish(self.spark, made, f"{self.root}/manifest/{batch_id}")
 
 
 def p3_found(spark: SparkSession, base: str) -> DataFrame:
     return changed_pages(read(spark, base, "raw_documents"), read(spark, base, "crawl_state"), read(spark, base, "crawl_runs"))
 
 
+def p3_files(spark: SparkSession, base: str) -> DataFrame:
+    """The landed files as batches: a run processes what is pending and commits it, a second one finds
+    nothing to do. ``(raw_id, content_hash)`` of the rows of the newest version of each file."""
+    batches = FileBatches(spark, f"{checkpoint_dir(spark).rstrip('/')}/batches-{uuid.uuid4().hex}")
+    for _ in range(2):
+
+        def transform(paths: list[str]) -> DataFrame:
+            pages = spark.read.parquet(*paths)
+            return pages.select(F.col("_metadata.file_path").alias("path"), "raw_id", content_hash(F.col("raw_html")).alias("content_hash"))
+
+        while batches.run(f"{base}/raw_documents.parquet", transform, "*.parquet"):
+            pass
+    return batches.current().select("raw_id", "content_hash")
+
+
+P3_FILES_SQL = "SELECT raw_id, md5(raw_html) AS content_hash FROM raw_documents"
+
 P3_SQL = r"""
 WITH r AS (
   SELECT trim(url) AS u, raw_id, landed_at,

@@ -11,8 +11,8 @@ from textloom.functions import codec, porter, text, urls
 from textloom.operators import extract, incremental, index, ingest, search, stats
 from textloom.session import read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": incremental.p3_found}
-SQL: dict[str, str] = {"p3_found": incremental.P3_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": incremental.p3_found, "p3_files": incremental.p3_files}
+SQL: dict[str, str] = {"p3_found": incremental.P3_SQL, "p3_files": incremental.P3_FILES_SQL}
 
 
 def query(sql: str | None = None):

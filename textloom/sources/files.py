@@ -8,6 +8,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import first_bytes, one_line, strip
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, url, title, text_size_bytes)`` of the lines that begin with a digit."""
@@ -21,14 +23,28 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+#: Bytes of a title and of an address that the index keeps.
+TITLE_BYTES, URL_BYTES = 1023, 2047
+
+
+def read_corpus(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """``(doc_id, title, url, body, raw_bytes)`` of the files ``<doc_id>.txt``: a line of title, a
-    line of url, the rest. Files of fewer than three lines and other files are left out."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
+    line of url, the rest. Files of fewer than three lines are left out, and files that can't be
+    read. Without ``numbered``, every file counts, and one without a number has a null id."""
+    files = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(path, wholetext=True)
     files = files.select("value", F.regexp_extract("_metadata.file_name", r"^([0-9]+)\.txt$", 1).alias("name"), F.col("_metadata.file_size").alias("raw_bytes"))
     lines = F.split("value", r"\r\n|\n|\r", 3)
-    kept = files.where((F.col("name") != "") & (F.size(lines) >= 3))
-    return kept.select(F.col("name").cast("long").alias("doc_id"), F.trim(lines[0]).alias("title"), F.trim(lines[1]).alias("url"), lines[2].alias("body"), "raw_bytes")
+    kept = files.where((F.size(lines) >= 3) & ((F.col("name") != "") | F.lit(not numbered)))
+    return kept.select(
+        F.col("name").try_cast("long").alias("doc_id"), strip(lines[0]).alias("title"), strip(lines[1]).alias("url"), lines[2].alias("body"), "raw_bytes"
+    )
+
+
+def indexed_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, title, url, body, raw_bytes)`` of the manifest's documents whose file is there, with
+    title and url cut to the bytes that the index keeps."""
+    docs = indexed_files(read_manifest(spark, f"{path}/manifest.tsv"), read_corpus(spark, path))
+    return docs.withColumns({"title": first_bytes(F.col("title"), TITLE_BYTES), "url": first_bytes(F.col("url"), URL_BYTES)})
 
 
 def indexed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -38,9 +54,9 @@ def indexed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
     """``(term, freq)`` of the lines of exactly two fields, the second a number."""
-    f = F.split(F.trim("value"), "\t")
+    f = F.split(strip(F.col("value")), "\t")
     rows = spark.read.text(path).where(F.size(f) == 2)
-    return rows.select(f[0].alias("term"), F.trim(f[1]).try_cast("long").alias("freq")).where("freq IS NOT NULL")
+    return rows.select(f[0].alias("term"), strip(f[1]).try_cast("long").alias("freq")).where("freq IS NOT NULL")
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -74,8 +90,6 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
                 f.write(f"{r.title or ''}\n{r.url or ''}\n{r.body or ''}\n")
             os.replace(part, f"{folder}/{r.doc_id}.txt")
 
-    from textloom.functions.text import one_line
-
     corpus.select("doc_id", one_line(F.col("title")).alias("title"), one_line(F.col("url")).alias("url"), "body").foreachPartition(write)
 
 
