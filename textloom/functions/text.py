@@ -77,4 +77,4 @@ def strip(text: Column) -> Column:
 def first_bytes(text: Column, most: int) -> Column:
     """The longest beginning of a text that has at most ``most`` bytes, no character cut in two."""
     b = F.substring(F.encode(text, "UTF-8"), 1, most)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.decode(b, "UTF-8"), "\ufffd+$", ""))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(F.make_valid_utf8(b.cast("string")), "\ufffd+$", ""))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import codec, porter, text, urls
+from textloom import pipeline
 from textloom.operators import extract, incremental, index, ingest, search, stats
-from textloom.session import read
+from textloom.session import checkpoint_dir, read
+from textloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": incremental.p3_found, "p3_files": incremental.p3_files}
 SQL: dict[str, str] = {"p3_found": incremental.P3_SQL, "p3_files": incremental.P3_FILES_SQL}
@@ -434,6 +437,46 @@ def json_trial_html(spark, base):
     return r.select("doc_id", ingest.trial_html(F.col("r")).alias("html"))
 
 
+# --- entry points ---
+
+
+@query(r"""WITH r AS (SELECT 'https://europepmc.org/article/PMC/' || doc_id AS url, '<html><head><title>' || coalesce(source, 'Untitled') || '</title></head><body><h1>' || coalesce(source, 'Untitled')
+|| '</h1><p class=''authors''></p><p class=''journal''>' || coalesce(journal, '') || ' (' || coalesce(pub_year, '') || ')</p><p class=''doi''></p><p class=''keywords''></p><div class=''abstract''>' || text
+|| '</div></body></html>' AS html FROM documents WHERE length(text) >= 100 AND source IS DISTINCT FROM 'trials_api')
+SELECT url, md5(html) AS content_hash, 'literature_api' AS source FROM r""".replace("\\'", "'"))
+def ingest_source(spark, base):
+    """A harvest of records made of the documents, of which those of one source are stored already."""
+    d = _docs(spark, base)
+    none = F.lit(None).cast("string")
+    r = F.struct(
+        F.col("doc_id").cast("string").alias("pmcid"), F.col("source").alias("title"), F.col("text").alias("abstractText"), F.col("journal").alias("journalTitle"), F.col("pub_year").alias("pubYear"), none.alias("doi"),
+        F.struct(F.array().cast("array<struct<firstName:string,lastName:string>>").alias("author")).alias("authorList"), F.struct(F.array().cast("array<string>").alias("keyword")).alias("keywordList"),
+    )
+    store = d.where("source = 'trials_api'").select(F.concat(F.lit(pipeline.BASE_URLS["literature"]), "doc_id").alias("url"))
+    new = pipeline.ingest_source(d.select("doc_id", r.alias("r")), store, "literature", 1 << 62, F.col("doc_id"), F.lit(0))
+    return new.select("url", "content_hash", "source")
+
+
+@query(r"""SELECT doc_id, coalesce(trim(translate(source, chr(9) || chr(10), '  ')), '') AS title, coalesce(octet_length(encode(text)), 0) + 1 AS body_bytes FROM documents""")
+def corpus_files(spark, base):
+    """The documents as corpus files and manifest in the shared folder, and read again as the indexer reads them."""
+    d = _docs(spark, base)
+    c = d.select("doc_id", "url", F.col("source").alias("title"), F.col("text").alias("body"), F.octet_length("text").alias("text_size_bytes"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    files.write_corpus(c, folder)
+    files.write_manifest(extract.manifest(c), f"{folder}/manifest.tsv")
+    return files.indexed_corpus(spark, folder).select("doc_id", "title", F.octet_length("body").alias("body_bytes"))
+
+
+@query(f"""WITH {_COUNTS}, {porter.stem_sql("SELECT token FROM cnt")}
+SELECT d.doc_id, md5(d.text) AS hash, coalesce(c.n, 0) AS tokens, 'liver' AS stem FROM documents d LEFT JOIN (SELECT doc_id, CAST(sum(n) AS INTEGER) AS n FROM cnt GROUP BY doc_id) c USING (doc_id)""")
+def sql_functions(spark, base):
+    """The operators as SQL functions."""
+    pipeline.register_functions(spark)
+    _docs(spark, base).createOrReplaceTempView("_tl_documents")
+    return spark.sql("SELECT doc_id, tl_content_hash(text) AS hash, size(tl_tokens(text)) AS tokens, tl_stem('livers') AS stem FROM _tl_documents")
+
+
 # --- statistics ---
 
 

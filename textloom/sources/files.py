@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
         import os
         import uuid
 
-        folder = PurePosixPath(path.removeprefix("file://"))
+        folder = PurePosixPath(urlsplit(path).path)
         os.makedirs(folder, exist_ok=True)
         for r in rows:
             part = f"{folder}/.{r.doc_id}.{uuid.uuid4().hex}"
