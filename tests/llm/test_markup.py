@@ -46,3 +46,28 @@ def test_rows(spark):
     assert got == [(1, "heading", 1), (1, "list_item", 1), (1, "list_item", 2)] or got == [(1, "list_item", 1), (1, "list_item", 2), (1, "list_item", 3)]
     texts = {r[0]: r[1] for r in df.select("raw_id", markup.clean_text(df.page)).collect()}
     assert texts[2] is None and texts[3] == ""
+
+
+TEXT = "<p>" + "The trial measured how long patients lived after the treatment. " * 6 + "</p><ul><li>first arm</li><li>second arm</li></ul>"
+BOX = "<div class='related'><div class='abstract'><ul>" + "<li><a href='/a'>Another article</a></li>" * 9 + "</ul></div></div>"
+
+
+def test_density_decides_between_blocks_of_a_class(monkeypatch):
+    page = PAGE.format(TEXT).replace("<footer>", BOX + "<footer>")
+
+    def items():
+        return sum(markup.structure(b)["list_item"] for b in markup.blocks(page, markup.STUDY_TEXT))
+
+    assert items() == 2
+    monkeypatch.setattr(markup, "_content", lambda nodes, frames=True: (0, list(range(len(nodes))), 0.0))
+    assert items() == 11
+
+
+def test_density_finds_content_without_the_class():
+    page = PAGE.format(TEXT).replace("class='abstract'", "class='text'").replace("<footer>", BOX.replace("class='abstract'", "class='box'") + "<footer>")
+    assert [markup.structure(b)["list_item"] for b in markup.blocks(page, markup.STUDY_TEXT)] == [2]
+
+
+def test_long_formulas_count():
+    for n in (10, 280, 301, 5000):
+        assert markup.structure(f"where $x{'+ y' * n}$ holds")["formula"] == 1

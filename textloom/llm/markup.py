@@ -2,9 +2,9 @@
 
 The page's content is located by composite text density: every DOM node gets its characters
 per tag, adjusted for link text; a node's density sum adds up its children's densities; the
-subtree with the largest sum is the core of the content, and it is widened along the path to
-``body`` while the nodes stay at or above the least density on that path. What lies in that
-subtree is then read in whatever markup it is written.
+subtree with the largest sum is the core of the content, and the least density on the path from it
+to ``body`` is the threshold that other blocks must reach to be content. What is content is then
+read in whatever markup it is written.
 """
 
 from __future__ import annotations
@@ -135,30 +135,40 @@ def score(nodes: list[Node]) -> None:
         n.density_sum = n.own + sum(nodes[c].density for c in n.children)
 
 
-def content_root(nodes: list[Node]) -> int:
-    """The subtree that holds the page's content; the whole page when it has no block."""
+def _frame(node: Node) -> bool:
+    return node.tag in _FRAME or bool(_ROLE_MAIN.search(node.attrs))
+
+
+def _content(nodes: list[Node], frames: bool = True) -> tuple[int, list[int], float]:
+    """The node with the largest density sum, the path from it to the body, and the threshold: the
+    least density on that path. Without ``frames``, blocks that frame a whole page are out of the question if there are others."""
     body = next((i for i, n in enumerate(nodes) if n.tag == "body"), 0)
     flow = [i for i, n in enumerate(nodes) if i >= body and n.tag in _FLOW and n.chars]
+    if not frames:
+        flow = [i for i in flow if not _frame(nodes[i])] or flow
     if not flow:
-        return body
+        return body, [body], 0.0
     best = max(flow, key=lambda i: nodes[i].density_sum)
     path, i = [best], best
     while i != body and nodes[i].parent >= 0:
         i = nodes[i].parent
         path.append(i)
-    least = min(nodes[i].density for i in path)
+    return best, path, min(nodes[i].density for i in path)
 
-    def frame(i: int) -> bool:
-        return nodes[i].tag in _FRAME or bool(_ROLE_MAIN.search(nodes[i].attrs))
 
-    if not frame(best):
-        return [i for i in path if not frame(i) and nodes[i].density >= least][-1]
+def content_root(nodes: list[Node]) -> int:
+    """The subtree that holds the page's content; the whole page when it has no block."""
+    best, path, least = _content(nodes)
+    if not nodes[best].chars:
+        return best
+    if not _frame(nodes[best]):
+        return [i for i in path if not _frame(nodes[i])][-1]
     while True:  # the frame won: go down while one block holds most of its text
         inner = [c for c in nodes[best].children if nodes[c].tag in _FLOW and 2 * nodes[c].chars > nodes[best].chars]
         if not inner:
             return best
         best = inner[0]
-        if not frame(best):
+        if not _frame(nodes[best]):
             return best
 
 
@@ -175,7 +185,7 @@ _TEX_MATH = re.compile(
     r"\\\[.+?\\\]|\\\(.+?\\\)|\\begin\{((?:equation|displaymath|math|align|gather|multline|eqnarray)\*?)\}.*?\\end\{\1\}",
     re.S,
 )
-_DOLLARS = re.compile(r"\$\$.+?\$\$|\$(?=[^\s\d$])(?:[^$\n\\]|\\[^\n]){1,300}?(?<=\S)\$(?![\w$])", re.S)
+_DOLLARS = re.compile(r"\$\$.+?\$\$|\$(?=[^\s\d$])(?:[^$\n\\]|\\[^\n])+?(?<=\S)\$(?![\w$])", re.S)
 _BY_CHAR = {
     "<": (("skip", _COMMENT), ("code_block", _CODE_TAG), ("inline", _INLINE_CODE), ("formula", _MATH_TAG)),
     "`": (("inline", _INLINE_CODE),),
@@ -377,21 +387,26 @@ def render(block: str) -> str:
 
 
 def blocks(page: str, classes: frozenset[str] = frozenset()) -> list[str]:
-    """Source of the page's content; with ``classes``, of its blocks of those classes only."""
+    """Source of the page's content. Of several blocks the one is content that holds the largest
+    density sum, and with ``classes`` those of that class whose density reaches the threshold,
+    wherever they stand: a box of links of the same class doesn't. A page without a block of that
+    class has the content that density alone finds."""
     nodes = parse(page)
     score(nodes)
-    root = content_root(nodes)
-    top = nodes[root]
-    if not classes:
-        return [page[top.inner : top.end]]
-    out, until = [], -1
-    for n in nodes[root:]:
-        if n.start > top.end and root:
-            break
-        if n.start >= until and n.tag in _FLOW and classes.intersection(n.classes()):
-            out.append(page[n.inner : n.end])
-            until = n.end
-    return out
+    if classes:
+        best, path, least = _content(nodes, frames=False)
+        near, out, until, named = set(path), [], -1, False
+        for i, n in enumerate(nodes):
+            if n.start < until or n.tag not in _FLOW or not classes.intersection(n.classes()):
+                continue
+            named = True
+            if i in near or n.density >= least or n.start <= nodes[best].start < n.end:
+                out.append(page[n.inner : n.end])
+                until = n.end
+        if named:
+            return out
+    top = nodes[content_root(nodes)]
+    return [page[top.inner : top.end]]
 
 
 STUDY_TEXT = frozenset({"abstract", "description"})
