@@ -91,7 +91,29 @@ def test_weight_and_candidates(spark):
     for t, d, tf, *_ in rows:
         length = 40 if d < 50 and d % 3 == 0 else total[d]
         assert got[d, t][0] == pytest.approx(tf / length * math.log(65 / df[t]))
-        assert got[d, t][1] >= 0
+        cf, mass = sum(f for x, _, f, *_ in rows if x == t), sum(v**0.75 for v in total.values())
+        every = sum(total.values())
+        pmi = math.log((tf / every) / (cf / every * total[d] ** 0.75 / mass))
+        assert got[d, t][1] == pytest.approx(max(pmi, 0.0), abs=1e-12)
     for least in (0.05, 0.12, 0.5):
         kept = {(r.record, r.term) for r in terms.distinctive_terms(s, least).collect()}
         assert kept == {k for k, (w, _) in got.items() if w >= least}
+
+
+@pytest.mark.parametrize("long_record", [1 << 16, 5])
+def test_posting_counters(spark, monkeypatch, long_record):
+    monkeypatch.setattr(terms, "LONG_RECORD", long_record)
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "A", "b", "c", "d", None, ""]), rng.randrange(30), rng.choice([None, 0, 1, 2, 5]), rng.choice([T0, T1, None]), 0) for _ in range(400)]
+    newest = {}
+    for t, d, tf, at, _ in rows:
+        if t:
+            key = (t.lower(), d)
+            newest[key] = max(newest.get(key, ((False, T0), -1)), ((at is not None, at or T0), max(tf or 0, 0)))
+    truth = defaultdict(list)
+    for (t, d), (_, tf) in newest.items():
+        if tf >= 1:
+            truth[t].append((d, tf))
+    got = terms.term_counters(terms.posting_rows(spark.createDataFrame(rows, P))).collect()
+    assert {r.term: (r.occurrences, r.records) for r in got if r.term} == {t: (sum(f for _, f in x), len(x)) for t, x in truth.items()}
+    assert [r.records for r in got if r.term is None] == [len({d for x in truth.values() for d, _ in x})]

@@ -14,7 +14,7 @@ from textloom.session import cut, keep, read, spread
 def p1_frequency(spark: SparkSession, base: str) -> DataFrame:
     """Every distinct term of tokens and postings with its counts and mark."""
     tokens, postings = read(spark, base, "tokens"), read(spark, base, "postings")
-    return terms.term_frequency({"token": (terms.token_rows(tokens), True), "posting": (terms.posting_rows(postings), False)})
+    return terms.term_frequency({"token": (terms.token_rows(tokens), True), "posting": (terms.posting_rows(postings), True)})
 
 
 def p1_found(spark: SparkSession, base: str) -> DataFrame:
@@ -31,6 +31,12 @@ def p2_clean_text(spark: SparkSession, base: str) -> DataFrame:
     return pages.select("raw_id", markup.clean_text(F.col("raw_html"), markup.STUDY_TEXT).alias("text"))
 
 
+def p4_ppmi(spark: SparkSession, base: str) -> DataFrame:
+    """PPMI and weight of every term of every record."""
+    scored = terms.distinctiveness(read(spark, base, "postings"), read(spark, base, "forward_entries"), read(spark, base, "index_headers"))
+    return scored.select(F.col("record").alias("doc_id"), "term", F.round("ppmi", 6).alias("ppmi"), F.round("weight", 6).alias("weight"))
+
+
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
     scored = terms.distinctiveness(read(spark, base, "postings"), read(spark, base, "forward_entries"), read(spark, base, "index_headers"))
     return terms.distinctive_terms(scored, 0.12).select(F.col("record").alias("doc_id"), "term")
@@ -97,5 +103,5 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_frequency, p2_found, p2_clean_text, p4_found, p5_found, p5_groups, p6_ids, p7_containers, p7_fill, p8_found)
+    for f in (p1_found, p1_frequency, p2_found, p2_clean_text, p4_found, p4_ppmi, p5_found, p5_groups, p6_ids, p7_containers, p7_fill, p8_found)
 }

@@ -26,18 +26,23 @@ m AS (SELECT f.*, CASE WHEN records < 3 OR occurrences < 5 THEN 'rare' WHEN reco
       FROM f JOIN a USING (origin))
 """
 
-SQL = {
-    "p1_frequency": _P1 + "SELECT origin, term, occurrences, records, mark FROM m",
-    "p1_found": _P1 + "SELECT origin, term, mark FROM m WHERE mark IS NOT NULL",
-    "p4_found": f"""
+_P4 = f"""
 WITH {_POSTINGS},
 n AS (SELECT sum(num_docs) AS n FROM (SELECT num_docs FROM index_headers
       QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY built_at DESC NULLS LAST, num_docs DESC NULLS LAST) = 1)),
 f AS (SELECT doc_id, doc_total_tokens FROM forward_entries
       QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at DESC NULLS LAST, doc_total_tokens DESC NULLS LAST) = 1),
 s AS (SELECT doc_id, sum(tf) AS s FROM c GROUP BY doc_id),
-d AS (SELECT term, count(*) AS df FROM c GROUP BY term)
-SELECT c.doc_id, c.term FROM c JOIN s USING (doc_id) JOIN d USING (term) LEFT JOIN f USING (doc_id), n
-WHERE c.tf / CAST(CASE WHEN f.doc_total_tokens >= 1 THEN f.doc_total_tokens ELSE s.s END AS DOUBLE) * ln(n.n / CAST(d.df AS DOUBLE)) >= 0.12
-""",
+d AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM c GROUP BY term),
+w AS (SELECT c.doc_id, c.term, c.tf, d.cf, s.s, c.tf / CAST(CASE WHEN f.doc_total_tokens >= 1 THEN f.doc_total_tokens ELSE s.s END AS DOUBLE) * ln(n.n / CAST(d.df AS DOUBLE)) AS w
+      FROM c JOIN s USING (doc_id) JOIN d USING (term) LEFT JOIN f USING (doc_id), n)
+"""
+
+SQL = {
+    "p1_frequency": _P1 + "SELECT origin, term, occurrences, records, mark FROM m",
+    "p1_found": _P1 + "SELECT origin, term, mark FROM m WHERE mark IS NOT NULL",
+    "p4_found": _P4 + "SELECT doc_id, term FROM w WHERE w >= 0.12",
+    "p4_ppmi": _P4
+    + """, m AS (SELECT sum(pow(s, 0.75)) AS mass FROM s)
+SELECT doc_id, term, round(greatest(ln(tf / (CAST(cf AS DOUBLE) * (pow(s, 0.75) / mass))), 0), 6) AS ppmi, round(w, 6) AS weight FROM w, m""",
 }

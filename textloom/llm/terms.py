@@ -11,7 +11,7 @@ group-bys and joins only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -165,9 +165,11 @@ def token_rows(tokens: DataFrame, record: str = "doc_id", slot: str = "position"
     return t.sortWithinPartitions("record", "slot", "term").select("record", "slot", "term", F.lit(1).alias("n"), "long")
 
 
-def counted_postings(postings: DataFrame, record: str = "doc_id", term: str = "term", tf: str = "tf", loaded: str = "loaded_at") -> DataFrame:
+def counted_postings(postings: DataFrame, record: str = "doc_id", term: str = "term", tf: str = "tf", loaded: str = "loaded_at", by: Sequence[str] = ("term", "record"), long: DataFrame | None = None) -> DataFrame:
     """``(term, record, tf)``, one row for each term and record with tf of 1 or more. Of rows that
-    agree in both the newest decides, of equally new ones the greatest tf; null times are oldest."""
+    agree in both the newest decides, of equally new ones the greatest tf; null times are oldest.
+    Rows are partitioned ``by`` term and record or one of them, and those of ``long`` records, which then
+    are marked in the column ``long``, by their terms too."""
     p = postings.select(
         normal_term(F.col(term)).alias("term"),
         F.col(record).cast("long").alias("record"),
@@ -183,16 +185,25 @@ def counted_postings(postings: DataFrame, record: str = "doc_id", term: str = "t
         packed = at * F.lit(unit) + F.col("tf")
     else:
         packed = at.cast("decimal(20,0)") * F.lit(unit).cast("decimal(10,0)") + F.col("tf").cast("decimal(10,0)")
-    p = p.select("term", "record", packed.alias("p")).repartition("term", "record")
-    p = p.groupBy("term", "record").agg(F.max("p").alias("p"))
-    return p.select("term", "record", F.pmod(F.col("p"), F.lit(unit)).cast("int").alias("tf")).where("tf >= 1")
-
-
-def posting_rows(postings: DataFrame, **names: str) -> DataFrame:
-    """Rows for :func:`term_counters` out of postings. Each (term, record) is one row by now, so
-    they may be partitioned by both, and no record is too long."""
-    c = counted_postings(postings, **names)
-    return c.sortWithinPartitions("record").select("record", F.lit(None).cast("int").alias("slot"), "term", F.col("tf").alias("n"), F.lit(False).alias("long"))
+    p, split = p.select("term", "record", packed.alias("p")), []
+    if long is not None:
+        p = p.join(long, "record", "left").fillna(False, "long")
+        p, split = p.withColumn("part", F.when(F.col("long"), F.pmod(F.xxhash64("term"), F.lit(64)))), ["part", "long"]
+    p = p.repartition(*by, *split[:1]).groupBy("term", "record", *split).agg(F.max("p").alias("p"))
+    return p.select("term", "record", *split[1:], F.pmod(F.col("p"), F.lit(unit)).cast("int").alias("tf")).where("tf >= 1")
+
+
+def posting_rows(postings: DataFrame, record: str = "doc_id", **names: str) -> DataFrame:
+    """Rows for :func:`term_counters` out of postings, partitioned by record, so that each record is
+    counted in one place. A record of LONG_RECORD rows or more is split by its terms and counted apart."""
+    of = postings.groupBy(F.col(record).cast("long").alias("record")).agg(F.count("*").alias("n"))
+    long = cut(of.where(F.col("n") >= LONG_RECORD).select("record", F.lit(True).alias("long")))  # reads the record's column only
+    n_long = long.limit(FEW_LONG + 1).count()
+    if n_long:
+        c = counted_postings(postings, record, by=["record"], long=F.broadcast(long) if n_long <= FEW_LONG else long, **names)
+    else:
+        c = counted_postings(postings, record, by=["record"], **names).withColumn("long", F.lit(False))
+    return c.sortWithinPartitions("record").select("record", F.lit(None).cast("int").alias("slot"), "term", F.col("tf").alias("n"), "long")
 
 
 def term_frequency(sources: dict[str, tuple[DataFrame, bool]], rare_records: int = 3, rare_occurrences: int = 5, common_share: float = 0.3) -> DataFrame:
@@ -216,12 +227,12 @@ def term_frequency(sources: dict[str, tuple[DataFrame, bool]], rare_records: int
 
 
 def record_lengths(counted: DataFrame, forward: DataFrame, record: str = "doc_id") -> DataFrame:
-    """``(record, length)``: the newest ``doc_total_tokens`` (of equally new ones the greatest) or,
-    if that is null or below 1 or the record has no entry, the sum of the record's tf."""
+    """``(record, total, length)``: the sum of the record's tf, and the newest ``doc_total_tokens`` (of
+    equally new ones the greatest) or, if that is null or below 1 or the record has no entry, the sum."""
     f = forward.groupBy(F.col(record).cast("long").alias("record")).agg(F.max(F.struct("loaded_at", "doc_total_tokens")).alias("f"))
-    sums = counted.groupBy("record").agg(F.sum("tf").alias("s"))
+    sums = counted.groupBy("record").agg(F.sum("tf").alias("total"))
     n = F.col("f.doc_total_tokens")
-    return sums.join(f, "record", "left").select("record", F.when(n >= 1, n).otherwise(F.col("s")).alias("length"))
+    return sums.join(f, "record", "left").select("record", "total", F.when(n >= 1, n).otherwise(F.col("total")).alias("length"))
 
 
 def collection_size(headers: DataFrame) -> DataFrame:
@@ -231,42 +242,40 @@ def collection_size(headers: DataFrame) -> DataFrame:
 
 
 def distinctiveness(postings: DataFrame, forward: DataFrame, headers: DataFrame, alpha: float = 0.75) -> DataFrame:
-    """``(record, term, tf, length, df, p_term, idf, ppmi, weight)`` of each term of each record.
-
-    ``ppmi`` is the positive part of ln(p(record, term) / (p(record) p_a(term))): the joint and the
-    record's marginal come from tf and length, and the term's marginal, its count over the
-    collection, is raised to ``alpha`` and normalised again, which keeps rare terms from
-    outweighing all others. ``weight`` is tf / length * ln(n / df), 0 if n or df is 0. Nothing is
-    dropped: terms with a ppmi of 0 come out too. Empty postings give no rows.
+    """``(record, term, tf, length, df, expected, idf, ppmi, weight)`` of each term of each record.
+
+    ``ppmi`` is the positive part of ln(p(term, record) / (p(term) p_a(record))), all from the joint
+    counts tf: the record is the context, whose marginal, the sum of its tf, is raised to ``alpha``
+    and normalised again, so that short records don't outweigh all others. ``expected`` is
+    the tf that a ppmi of 0 amounts to, p(term) p_a(record) times the sum of all tf. ``weight`` is
+    tf / length * ln(n / df), 0 if n or df is 0. Nothing is dropped: terms with a ppmi of 0 come out
+    too. Empty postings give no rows.
     """
     counted = keep(counted_postings(postings))
-    length = keep(record_lengths(counted, forward))
-    terms = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    terms = keep(terms.select("term", "df", F.pow("cf", F.lit(alpha)).alias("smooth")))
-    # three numbers for the whole collection
-    whole = terms.agg(F.sum("smooth").alias("mass"), F.count("*").alias("n")).first()
-    n = collection_size(headers).first()[0] or 0
-    scored = terms.select(
-        "term",
-        "df",
-        (F.col("smooth") / F.lit(float(whole.mass or 1.0))).alias("p_term"),
-        F.when((F.col("df") > 0) & (F.lit(n) > 0), F.log(F.lit(float(n)) / F.col("df"))).otherwise(F.lit(0.0)).alias("idf"),
-    )
+    records = keep(record_lengths(counted, forward).withColumn("smooth", F.pow("total", F.lit(alpha))))
+    terms = keep(counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    # five numbers for the whole collection
+    of_records = records.agg(F.sum("smooth").alias("mass"), F.count("*").alias("n")).first()
+    n_terms, n = terms.count(), collection_size(headers).first()[0] or 0
+    idf = F.when((F.col("df") > 0) & (F.lit(n) > 0), F.log(F.lit(float(n)) / F.col("df"))).otherwise(F.lit(0.0))
+    terms = terms.select("term", "df", "cf", idf.alias("idf"))
+    records = records.select("record", "length", (F.col("smooth") / F.lit(float(of_records.mass or 1.0))).alias("p_record"))
     # both sides have been counted: they are sent to every executor up to a bound, joined beyond it
-    few = length.count() <= SENT
-    rows = counted.join(F.broadcast(length) if few else length, "record")
-    rows = rows.join(F.broadcast(scored) if whole.n <= SENT else scored, "term")
-    share = F.col("tf") / F.col("length")
-    pmi = F.log(share / F.col("p_term"))
-    return rows.select("record", "term", "tf", "length", "df", "p_term", "idf", F.greatest(pmi, F.lit(0.0)).alias("ppmi"), (share * F.col("idf")).alias("weight"))
+    rows = counted.join(F.broadcast(records) if of_records.n <= SENT else records, "record")
+    rows = rows.join(F.broadcast(terms) if n_terms <= SENT else terms, "term")
+    # cf / N * p_record * N: the sum of all tf cancels out
+    rows = rows.withColumn("expected", F.col("cf") * F.col("p_record"))
+    pmi = F.log(F.col("tf") / F.col("expected"))
+    weight = F.col("tf") / F.col("length") * F.col("idf")
+    return rows.select("record", "term", "tf", "length", "df", "expected", "idf", F.greatest(pmi, F.lit(0.0)).alias("ppmi"), weight.alias("weight"))
 
 
 def distinctive_terms(scored: DataFrame, least: float) -> DataFrame:
     """The rows with a weight of at least ``least``: candidates by ppmi, then the exact test.
 
-    A term is a candidate where its ppmi is positive, that is where tf / length exceeds p_term. A
-    weight of ``least`` needs tf / length >= least / idf, so a case can only have a ppmi of 0 if
-    p_term * idf >= least; terms that dominant are candidates everywhere. No case is lost.
+    A term is a candidate where its ppmi is positive, that is where tf exceeds ``expected``. Where it
+    doesn't, the weight is at most expected / length * idf; terms for which that reaches ``least``
+    are candidates too, so that no case is lost.
     """
-    candidate = (F.col("ppmi") > 0) | (F.col("p_term") * F.col("idf") >= least)
+    candidate = (F.col("ppmi") > 0) | (F.col("expected") / F.col("length") * F.col("idf") >= least)
     return scored.where(candidate & (F.col("weight") >= least))
