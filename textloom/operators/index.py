@@ -227,15 +227,16 @@ _OPEN: dict[tuple[str, str], Index] = {}
 def stored_index(spark: SparkSession, source: str, build: Callable[[], Index], name: str = "", anew: bool = False) -> Index:
     """The index of the table under ``source``, built once for each version of its files and opened
     from then on. It lies in the shared folder, complete or not at all. ``name`` tells indexes of
-    one table apart; ``anew`` builds it again in any case, beside the one there is."""
+    one table apart; with ``anew`` it is built in any case, beside the one that may be there."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/index-{name}{version(spark, source)}"
     at = spark.sparkContext.applicationId, path
-    if anew:
-        return build().write(f"{path}-{uuid.uuid4().hex}")
+    there = at in _OPEN or bool(files(spark, f"{path}/meta"))
+    if anew or not there:
+        made = f"{path}-{uuid.uuid4().hex}"
+        index = build().write(made)
+        if there:
+            return index
+        publish(spark, made, path)
     if at not in _OPEN:
-        if not files(spark, f"{path}/meta"):
-            made = f"{path}-{uuid.uuid4().hex}"
-            build().write(made)
-            publish(spark, made, path)
         _OPEN[at] = Index.open(spark, path)
     return _OPEN[at]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import codec, porter, text, urls
 from textloom import pipeline
 from textloom.operators import extract, incremental, index, ingest, search, stats
-from textloom.session import checkpoint_dir, read
+from textloom.session import checkpoint_dir, read, spread
 from textloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": incremental.p3_found, "p3_files": incremental.p3_files}
@@ -52,9 +52,14 @@ def _docs(spark: SparkSession, base: str) -> DataFrame:
     return read(spark, base, "documents")
 
 
+def _texts(spark: SparkSession, base: str) -> DataFrame:
+    """The documents for stages that are bound by the CPU."""
+    return spread(_docs(spark, base))
+
+
 def _index(spark: SparkSession, base: str, anew: bool = False) -> index.Index:
     """The index of the documents, built by the first query that needs it and opened by the others."""
-    return index.stored_index(spark, f"{base}/documents.parquet", lambda: index.Index.of(_docs(spark, base), F.col("source"), F.col("url")), anew=anew)
+    return index.stored_index(spark, f"{base}/documents.parquet", lambda: index.Index.of(_texts(spark, base), F.col("source"), F.col("url")), anew=anew)
 
 
 # --- tokenizer and stemmer ---
@@ -62,7 +67,7 @@ def _index(spark: SparkSession, base: str, anew: bool = False) -> index.Index:
 
 @query(f"WITH {_TOK} SELECT doc_id, token, count(*) AS n FROM tok GROUP BY ALL")
 def tokenize(spark, base):
-    return index.token_counts(_docs(spark, base)).withColumnRenamed("tf", "n")
+    return index.token_counts(_texts(spark, base)).withColumnRenamed("tf", "n")
 
 
 @query(f"""
@@ -71,12 +76,12 @@ f AS (SELECT doc_id, flatten(list_transform(c, lambda x: CASE WHEN string_split(
 u AS (SELECT doc_id, unnest(f) AS token, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS position FROM f)
 SELECT doc_id, position, token FROM u WHERE {_VALID.format("token")}""")
 def token_positions(spark, base):
-    return index.positioned(_docs(spark, base))
+    return index.positioned(_texts(spark, base))
 
 
 @query(f"WITH {_TOK} SELECT count(*) AS num_tokens, CAST(sum(length(token)) AS BIGINT) AS total_chars FROM tok")
 def token_stats(spark, base):
-    return stats.token_stats(index.token_rows(_docs(spark, base)))
+    return stats.token_stats(index.token_rows(_texts(spark, base)))
 
 
 @query(f"SELECT doc_id, {_LOW} AS low FROM documents")
@@ -86,7 +91,7 @@ def ascii_lower(spark, base):
 
 @query(f"WITH {_TOK}, {porter.stem_sql('SELECT token FROM tok')} SELECT token, term FROM stems")
 def porter_vocab(spark, base):
-    return index.vocabulary(index.token_rows(_docs(spark, base)))
+    return index.vocabulary(index.token_rows(_texts(spark, base)))
 
 
 # --- index ---
@@ -94,27 +99,27 @@ def porter_vocab(spark, base):
 
 @query(f"WITH {_STEMMED} SELECT term, doc_id, tf FROM p")
 def term_frequency(spark, base):
-    return index.postings(_docs(spark, base))
+    return index.postings(_texts(spark, base))
 
 
 @query(f"WITH {_STEMMED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY term")
 def doc_frequency(spark, base):
-    return index.term_table(index.postings(_docs(spark, base)))
+    return index.term_table(index.postings(_texts(spark, base)))
 
 
 @query(f"WITH {_TOK} SELECT d.doc_id, count(t.doc_id) AS total_tokens FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY d.doc_id")
 def doc_length(spark, base):
-    return index.document_lengths(_docs(spark, base))
+    return index.document_lengths(_texts(spark, base))
 
 
 @query(f"WITH {_TOK} SELECT d.doc_id, any_value(d.source) AS title, any_value(d.url) AS url, count(t.doc_id) AS total_tokens FROM documents d LEFT JOIN tok t USING (doc_id) GROUP BY d.doc_id")
 def forward_index(spark, base):
-    return index.forward(_docs(spark, base), F.col("source"), F.col("url"))
+    return index.forward(_texts(spark, base), F.col("source"), F.col("url"))
 
 
 @query(f"WITH {_STEMMED} SELECT 2 AS version, (SELECT count(*) FROM documents) AS num_docs, count(DISTINCT term) AS num_terms, count(*) AS num_postings, true AS stemming FROM p")
 def index_stats(spark, base):
-    m = index.Index.of(_docs(spark, base), F.col("source"), F.col("url")).meta
+    m = index.Index.of(_texts(spark, base), F.col("source"), F.col("url")).meta
     return m.select("version", "num_docs", "num_terms", "num_postings", "stemming")
 
 
@@ -126,7 +131,7 @@ def build_index(spark, base):
 
 @query(f"WITH {_PLAIN} SELECT term, count(*) AS df, array_to_string(list(doc_id ORDER BY doc_id), ' ') AS doc_ids, array_to_string(list(tf ORDER BY doc_id), ' ') AS tfs FROM p GROUP BY term")
 def postings_list(spark, base):
-    lists = index.postings_lists(index.postings(_docs(spark, base), stemming=False))
+    lists = index.postings_lists(index.postings(_texts(spark, base), stemming=False))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), " ")
     return lists.select("term", "df", join("doc_ids").alias("doc_ids"), join("tfs").alias("tfs"))
 
@@ -137,18 +142,18 @@ _SIZE = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 T
 
 @query(_DELTA + " SELECT term, doc_id, tf, delta FROM d")
 def postings_delta(spark, base):
-    return index.posting_deltas(index.postings(_docs(spark, base)))
+    return index.posting_deltas(index.postings(_texts(spark, base)))
 
 
 @query(_DELTA + f" SELECT term, CAST(sum({_SIZE.format('delta')} + {_SIZE.format('tf')}) AS BIGINT) AS bytes FROM d GROUP BY term")
 def vbyte_size(spark, base):
-    d = index.posting_deltas(index.postings(_docs(spark, base)))
+    d = index.posting_deltas(index.postings(_texts(spark, base)))
     return d.groupBy("term").agg(F.sum(codec.size_of(F.col("delta")) + codec.size_of(F.col("tf"))).alias("bytes"))
 
 
 @query(f"WITH {_STEMMED} SELECT term, doc_id, tf FROM p")
 def vbyte_roundtrip(spark, base):
-    return index.decoded_postings(index.encoded_postings(index.postings(_docs(spark, base))))
+    return index.decoded_postings(index.encoded_postings(index.postings(_texts(spark, base))))
 
 
 @query(
@@ -159,7 +164,7 @@ f AS (SELECT count(*) AS docs, sum(octet_length(encode(coalesce(source, ''))) +
 SELECT CAST(64 + 40 * terms + 20 * docs + tb + db + 8 * n AS BIGINT) AS plain_bytes, CAST(64 + 40 * terms + 20 * docs + tb + db + b AS BIGINT) AS coded_bytes FROM s, f"""
 )
 def index_size(spark, base):
-    return index.index_size(index.postings(_docs(spark, base)), _docs(spark, base).select(F.col("source").alias("title"), "url"))
+    return index.index_size(index.postings(_texts(spark, base)), _docs(spark, base).select(F.col("source").alias("title"), "url"))
 
 
 # --- ranking ---
@@ -380,17 +385,17 @@ def html_title(spark, base):
 
 @query()
 def html_body(spark, base):
-    return extract.extracted(read(spark, base, "raw_documents")).select("raw_id", "title", "body")
+    return extract.extracted(spread(read(spark, base, "raw_documents"))).select("raw_id", "title", "body")
 
 
 @query()
 def manifest(spark, base):
-    return extract.manifest(extract.corpus(read(spark, base, "raw_documents"), ["raw_id"]))
+    return extract.manifest(extract.corpus(spread(read(spark, base, "raw_documents")), ["raw_id"]))
 
 
 @query()
 def export_counts(spark, base):
-    return extract.export_counts(read(spark, base, "raw_documents"))
+    return extract.export_counts(spread(read(spark, base, "raw_documents")))
 
 
 @query("SELECT raw_id, row_number() OVER (ORDER BY raw_id) - 1 AS doc_id FROM raw_documents WHERE raw_html IS NOT NULL")
@@ -497,7 +502,7 @@ _FREQ = f"WITH {_TOK}, f AS (SELECT token AS term, count(*) AS freq FROM tok GRO
 
 
 def _ranks(spark, base) -> DataFrame:
-    return stats.ranked(index.token_rows(_docs(spark, base)).groupBy(F.col("token").alias("term")).agg(F.count("*").alias("freq")))
+    return stats.ranked(index.token_rows(_texts(spark, base)).groupBy(F.col("token").alias("term")).agg(F.count("*").alias("freq")))
 
 
 @query(_FREQ + " SELECT rank, term, freq FROM r")
