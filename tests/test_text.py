@@ -89,3 +89,10 @@ def test_small_functions(spark):
     got = df.select(text.lenient_int(df.s).alias("i"), text.format_size(df.b).alias("f")).collect()
     assert [(r.i, r.f) for r in got] == [(42, "5 B"), (-7, "2.00 KB"), (0, "3.00 MB")]
     assert spark.range(1).select(text.clean_lines(F.lit(" a  b \n\n \t\nc"))).first()[0] == "a b\nc"
+
+
+def test_murmur3():
+    from textloom.functions.hashing import murmur3_32
+
+    fox = b"The quick brown fox jumps over the lazy dog"
+    assert [murmur3_32(b"", 0), murmur3_32(b"", 1), murmur3_32(b"hello", 0), murmur3_32(b"hello, world", 0), murmur3_32(fox, 0)] == [0, 0x514E28B7, 0x248BFA47, 0x149BBB7F, 0x2E4FF723]

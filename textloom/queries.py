@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import codec, porter, text, urls
+from textloom.functions import codec, hashing, porter, text, urls
 from textloom import pipeline
 from textloom.operators import extract, incremental, index, ingest, search, stats
 from textloom.session import checkpoint_dir, read, spread
@@ -94,6 +94,46 @@ def porter_vocab(spark, base):
     return index.vocabulary(index.token_rows(_texts(spark, base)))
 
 
+_BYTE = "CAST('0x' || substr(hx, CAST(2 * {0} + 1 AS INTEGER), 2) AS UBIGINT)"
+_M32 = "4294967296::UBIGINT"
+
+
+def _rot(x: str, r: int) -> str:
+    return f"(({x} * {1 << r}::UBIGINT) % {_M32} + {x} // {1 << 32 - r}::UBIGINT)"
+
+
+def _mix(k: str) -> str:
+    a = f"({k} * 3432918353::UBIGINT % {_M32})"
+    return f"({_rot(a, 15)} * 461845907::UBIGINT % {_M32})"
+
+
+def _end(h: str, shift: int, factor: int) -> str:
+    return f"(xor({h}, {h} // {1 << shift}::UBIGINT) * {factor}::UBIGINT % {_M32})"
+
+
+@query(f"""WITH {_TOK}, w AS (SELECT DISTINCT token FROM tok), x AS (SELECT token, lower(hex(encode(token))) AS hx, octet_length(encode(token)) AS n FROM w),
+k AS (SELECT token, n, list_transform(range(0, n // 4), lambda i: {" + ".join(f"{_BYTE.format(f'(4 * i + {j})')} * {256**j}::UBIGINT" for j in range(4))}) AS ks,
+ list_sum(list_transform(range(n // 4 * 4, n), lambda i: CAST({_BYTE.format("i")} * power(256, i % 4) AS UBIGINT))) AS tail FROM x),
+a AS (SELECT token, n, list_reduce(list_prepend(42::UBIGINT, list_transform(ks, lambda k: CAST({_mix("k")} AS UBIGINT))), lambda h, m: CAST(({_rot("xor(h, m)", 13)} * 5 + 3864292196::UBIGINT) % {_M32} AS UBIGINT)) AS h, CAST(coalesce(tail, 0) AS UBIGINT) AS t FROM k),
+b AS (SELECT token, xor(xor(h, CASE WHEN n % 4 = 0 THEN 0::UBIGINT ELSE CAST({_mix("t")} AS UBIGINT) END), CAST(n AS UBIGINT)) AS h FROM a),
+c AS (SELECT token, {_end("h", 16, 0x85EBCA6B)} AS h FROM b), d AS (SELECT token, {_end("h", 13, 0xC2B2AE35)} AS h FROM c)
+SELECT token, CAST({_end("h", 16, 1)} AS BIGINT) AS hash FROM d""")
+def term_hash(spark, base):
+    """The hash by which a dictionary finds a word, of every distinct one."""
+    return index.token_rows(_texts(spark, base)).select("token").distinct().select("token", hashing.murmur3(F.col("token")).alias("hash"))
+
+
+@query(r"SELECT doc_id, coalesce(TRY_CAST(regexp_extract(pub_year, '^[ \t\n\r]*([+-]?[0-9]+)', 1) AS INTEGER), 0) AS year FROM documents")
+def lenient_int(spark, base):
+    return _docs(spark, base).select("doc_id", text.lenient_int(F.col("pub_year")).alias("year"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x:
+ trim(regexp_replace(x, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{B}\x{1C}-\x{1F}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM documents""")
+def clean_lines(spark, base):
+    return _docs(spark, base).select("doc_id", text.clean_lines(F.col("text")).alias("text"))
+
+
 # --- index ---
 
 
@@ -156,6 +196,20 @@ def vbyte_roundtrip(spark, base):
     return index.decoded_postings(index.encoded_postings(index.postings(_texts(spark, base))))
 
 
+_CODE = "CASE " + " ".join(
+    f"WHEN {{0}} < {1 << 7 * k} THEN " + " || ".join(f"printf('%02x', CAST(({{0}} // {1 << 7 * j}) % 128 + {128 if j < k - 1 else 0} AS INTEGER))" for j in range(k)) for k in range(1, 6)
+) + " END"
+
+
+@query(f"""WITH {_STEMMED}, b AS (SELECT term, doc_id, tf, doc_id // 65536 AS block FROM p),
+d AS (SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, block ORDER BY doc_id), block * 65536) AS delta FROM b)
+SELECT term, block, CAST(count(*) AS INTEGER) AS n, string_agg({_CODE.format("delta")}, '' ORDER BY doc_id) || string_agg({_CODE.format("tf")}, '' ORDER BY doc_id) AS code FROM d GROUP BY term, block""")
+def vbyte_blocks(spark, base):
+    """The bytes of each block of a posting list, in hexadecimal."""
+    blocks = index.encoded_postings(index.postings(_texts(spark, base)))
+    return blocks.select("term", "block", "n", F.lower(F.hex("code")).alias("code"))
+
+
 @query(
     _DELTA
     + f""", t AS (SELECT term, count(*) AS n, sum({_SIZE.format('delta')} + {_SIZE.format('tf')}) AS b FROM d GROUP BY term),
@@ -288,6 +342,14 @@ def cli_format(spark, base):
     return search.cli_lines(search.search(_index(spark, base), "liver therapy"))
 
 
+@query(f"""{_ranked(_AND, ['liver', 'therapy'])} SELECT 1 AS query_id, rank, printf('%d\t%.6f\t%s\t%s', r.doc_id, s, coalesce(d.source, ''), coalesce(d.url, '')) AS line FROM r JOIN documents d USING (doc_id) WHERE rank <= 50""")
+def search_file(spark, base):
+    """Queries of a file against the index at its place."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    spark.createDataFrame([("liver therapy",), ("",), ("zzzunknown",)], "line string").coalesce(1).write.text(folder)
+    return pipeline.search_lines(spark, _index(spark, base).path, folder)
+
+
 # --- ingest ---
 
 _NORM = r"""lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1))
@@ -393,7 +455,8 @@ def manifest(spark, base):
     return extract.manifest(extract.corpus(spread(read(spark, base, "raw_documents")), ["raw_id"]))
 
 
-@query()
+@query(r"""SELECT count(*) FILTER (WHERE regexp_matches(regexp_replace(coalesce(raw_html, ''), '<[^>]*>', '', 'g'), '\S')) AS exported,
+count(*) FILTER (WHERE NOT regexp_matches(regexp_replace(coalesce(raw_html, ''), '<[^>]*>', '', 'g'), '\S')) AS errors FROM raw_documents""")
 def export_counts(spark, base):
     return extract.export_counts(spread(read(spark, base, "raw_documents")))
 
@@ -462,6 +525,26 @@ def ingest_source(spark, base):
     return new.select("url", "content_hash", "source")
 
 
+@query(r"""WITH r AS (SELECT 'https://clinicaltrials.gov/study/N' || doc_id AS url, '<html><head><title>' || coalesce(journal, source, 'Untitled') || '</title></head><body><h1>' || coalesce(journal, source, 'Untitled')
+|| '</h1><p class=''nctid''>N' || doc_id || '</p><p class=''status''></p><p class=''phases''></p><p class=''conditions''></p><p class=''interventions''></p><div class=''summary''>' || coalesce(text, '')
+|| '</div><div class=''description''></div></body></html>' AS html FROM documents)
+SELECT url, md5(html) AS content_hash FROM r WHERE length(html) >= 300""")
+def ingest_trials(spark, base):
+    """A harvest of trials made of the documents into an empty store."""
+    none = F.lit(None)
+    s = F.struct(
+        F.struct(F.concat(F.lit("N"), "doc_id").alias("nctId"), F.col("journal").alias("officialTitle"), F.col("source").alias("briefTitle")).alias("identificationModule"),
+        F.struct(F.col("text").alias("briefSummary"), none.cast("string").alias("detailedDescription")).alias("descriptionModule"),
+        F.struct(none.cast("string").alias("overallStatus")).alias("statusModule"),
+        F.struct(none.cast("array<string>").alias("phases")).alias("designModule"),
+        F.struct(none.cast("array<string>").alias("conditions")).alias("conditionsModule"),
+        F.struct(none.cast("array<struct<type:string,name:string>>").alias("interventions")).alias("armsInterventionsModule"),
+    )
+    records = _docs(spark, base).select("doc_id", F.struct(s.alias("protocolSection")).alias("r"))
+    new = pipeline.ingest_source(records, spark.createDataFrame([], pipeline.STORE), "trials", 1 << 62, F.col("doc_id"), F.lit(0))
+    return new.select("url", "content_hash")
+
+
 @query(r"""SELECT doc_id, coalesce(trim(translate(source, chr(9) || chr(10), '  ')), '') AS title, coalesce(octet_length(encode(text)), 0) + 1 AS body_bytes FROM documents""")
 def corpus_files(spark, base):
     """The documents as corpus files and manifest in the shared folder, and read again as the indexer reads them."""
@@ -501,6 +584,15 @@ def format_size(spark, base):
 _FREQ = f"WITH {_TOK}, f AS (SELECT token AS term, count(*) AS freq FROM tok GROUP BY token), r AS (SELECT row_number() OVER (ORDER BY freq DESC, term) AS rank, term, freq, max(freq) OVER () AS top FROM f)"
 
 
+@query(_FREQ + r" SELECT regexp_replace(term, '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{B}\x{1C}-\x{1F}]+', '') AS term, freq FROM r")
+def frequency_file(spark, base):
+    """Frequencies as a file of tab-separated lines, and read again, which strips each line."""
+    f = index.token_rows(_texts(spark, base)).groupBy("token").agg(F.count("*").alias("freq"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/frequencies-{uuid.uuid4().hex}"
+    files.write_lines(f.select(F.concat_ws("\t", "token", F.col("freq").cast("string")).alias("line")), folder)
+    return files.read_frequencies(spark, folder)
+
+
 def _ranks(spark, base) -> DataFrame:
     return stats.ranked(index.token_rows(_texts(spark, base)).groupBy(F.col("token").alias("term")).agg(F.count("*").alias("freq")))
 
