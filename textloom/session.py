@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -54,10 +55,21 @@ def spread(df: DataFrame) -> DataFrame:
 
 def keep(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: like :func:`cut`, for rows of
-    which later plans read different columns."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    which later plans read different columns. The tables of a session are deleted when it ends."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that have run and are referred to no more, which it
+    does when the driver collects garbage. Worth it after a stage that shuffled whole texts."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
