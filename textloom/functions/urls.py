@@ -9,17 +9,12 @@ from pyspark.sql import functions as F
 def normalize_url(url: Column) -> Column:
     """Scheme and host in lower case, without parameters of the last segment, query, fragment and
     trailing slashes; the path keeps its letter case. Null stays null."""
-    u = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    tail = F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.\-]*:", "")
-    host = F.regexp_extract(tail, r"^//([^/?#]*)", 1)
-    path = F.regexp_extract(tail, r"^(?://[^/?#]*)?([^?#]*)", 1)
-    path = F.regexp_replace(F.regexp_replace(path, r";[^/]*$", ""), r"/+$", "")
-    return F.concat(
-        F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(F.lit("")),
-        F.when(host != "", F.concat(F.lit("//"), F.lower(host))).otherwise(F.lit("")),
-        path,
-    )
+    u = F.translate(F.ltrim(url, F.lit("".join(map(chr, range(33))))), "\t\r\n", "")
+    scheme = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
+    head = F.regexp_extract(u, scheme + r"(?://[^/?#]+)?", 0)
+    path = F.regexp_extract(u, scheme + r"(?://[^/?#]*)?([^?#]*)", 1)
+    # the parameters of the last segment and the slashes before them, or at the end
+    return F.concat(F.lower(head), F.regexp_replace(path, r"/*(?:;[^/]*)?$", ""))
 
 
 def content_hash(text: Column) -> Column:
