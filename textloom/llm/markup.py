@@ -392,6 +392,10 @@ def blocks(page: str, classes: frozenset[str] = frozenset()) -> list[str]:
     wherever they stand: a box of links of the same class doesn't. A page without a block of that
     class has the content that density alone finds."""
     nodes = parse(page)
+    if classes:
+        flow = [n for n in nodes if n.tag in _FLOW and n.chars and not _frame(n)]
+        if len(flow) == 1 and classes.intersection(flow[0].classes()):
+            return [page[flow[0].inner : flow[0].end]]  # alone it is the block with the largest density sum
     score(nodes)
     if classes:
         best, path, least = _content(nodes, frames=False)
