@@ -160,3 +160,19 @@ def test_store_goes_on_after_a_new_checkpoint(spark, tmp_path):
     s.apply(b, 7)
     assert len(s._changes()) == 1
     assert {(r.url, r.raw_html) for r in s.current().collect()} == {("http://a/x", "9"), ("http://a/y", "3")}
+
+
+def test_clashing_columns_nulls_and_empty_tables(spark):
+    from textloom.operators import extract, ingest
+
+    schema = "url string, raw_html string, title int, body int, doc_id long"
+    raw = spark.createDataFrame([("u", "<title>t</title><body>x</body>", 1, 2, 9), ("v", None, 1, 2, 9), (None, "y", 1, 2, 9)], schema)
+    assert [(r.doc_id, r.url, r.title, r.body) for r in extract.corpus(raw, ["url"]).orderBy("doc_id").collect()] == [(0, None, "", "y"), (1, "u", "t", "x")]
+    assert extract.corpus(raw.limit(0), ["url"]).count() == 0
+    docs = spark.createDataFrame([(1, "aa", "p", 3, 1), (2, None, None, None, None), (3, "", "q", 1, 1)], "doc_id long, text string, term string, tf int, df int")
+    index = Index.of(docs)
+    assert [tuple(r) for r in index.postings.select("term", "doc_id", "tf").collect()] == [("aa", 1, 1)]
+    assert index.meta.first().num_docs == 3
+    empty = spark.createDataFrame([], "r struct<pmcid:string>, n long")
+    assert ingest.stored_by_source(spark.createDataFrame([(None,)], "url string"), {"s": ["x"]}).first() == ("s", 0)
+    assert empty.count() == 0

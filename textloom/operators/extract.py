@@ -101,8 +101,10 @@ def title_and_body(html: Column) -> Column:
 
 
 def extracted(raw: DataFrame) -> DataFrame:
-    """``raw`` with title and body; pages without text are left out, as the export leaves them."""
-    e = raw.withColumn("_e", title_and_body(F.col("raw_html"))).select("*", "_e.title", "_e.body").drop("_e")
+    """``raw`` with title and body, in place of columns of these names; pages without text are left
+    out, as the export leaves them."""
+    kept = [c for c in raw.columns if c not in ("title", "body")]
+    e = raw.withColumn("_e", title_and_body(F.col("raw_html"))).select(*kept, "_e.title", "_e.body")
     return e.where(F.col("body").rlike(r"(?U)\S"))
 
 
