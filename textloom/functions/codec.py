@@ -12,27 +12,51 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the codes of non-negative integers below 2**35, and where each code ends."""
+    v = np.asarray(values, np.int64)
+    n = np.ones(len(v), np.int64)
+    for k in range(1, 5):
+        n += v >= 1 << 7 * k
+    ends = np.cumsum(n)
+    starts = ends - n
+    out = np.empty(ends[-1] if len(v) else 0, np.uint8)
+    out[starts] = (v & 0x7F) | (n > 1) << 7
+    for k in range(1, n.max(initial=1)):
+        of = np.flatnonzero(n > k)
+        out[starts[of] + k] = (v[of] >> 7 * k & 0x7F) | (n[of] > k + 1) << 7
+    return out, ends
+
+
 def encode_values(values: np.ndarray) -> bytes:
     """Variable-byte code of non-negative integers below 2**35, all at once."""
-    v = np.asarray(values, np.int64)
-    if not len(v):
-        return b""
-    groups = (v[:, None] >> (7 * np.arange(5))) & 0x7F
-    n = np.maximum(1, 5 - (groups[:, ::-1] != 0).argmax(axis=1))
-    n[v == 0] = 1
-    used = np.arange(5) < n[:, None]
-    more = np.arange(5) < n[:, None] - 1
-    return (groups | np.where(more, 0x80, 0)).astype(np.uint8)[used].tobytes()
+    return _coded(values)[0].tobytes()
+
+
+def encode_runs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Codes of consecutive runs of values, each of at least one, as an array of binaries."""
+    code, ends = _coded(values)
+    offsets = np.concatenate([[0], ends[np.cumsum(sizes) - 1]]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(code)])
 
 
-def decode_values(code: bytes) -> np.ndarray:
+def decode_values(code: bytes | pa.Buffer) -> np.ndarray:
     b = np.frombuffer(code, np.uint8)
-    if not len(b):
-        return np.array([], np.int64)
     ends = np.flatnonzero(b < 0x80)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    within = np.arange(len(b)) - np.repeat(starts, ends - starts + 1)
-    return np.add.reduceat((b & 0x7F).astype(np.int64) << (7 * within), starts)
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
+    n = ends - starts + 1
+    v = (b[starts] & 0x7F).astype(np.int64)
+    for k in range(1, n.max(initial=1)):
+        of = np.flatnonzero(n > k)
+        v[of] |= (b[starts[of] + k] & 0x7F).astype(np.int64) << 7 * k
+    return v
+
+
+def decode_runs(codes: pa.Array) -> np.ndarray:
+    """The values of all codes of an array, one after the other."""
+    offsets = np.frombuffer(codes.buffers()[1], np.int64 if pa.types.is_large_binary(codes.type) else np.int32)
+    lo, hi = int(offsets[codes.offset]), int(offsets[codes.offset + len(codes)])
+    return decode_values(codes.buffers()[2].slice(lo, hi - lo)) if hi > lo else np.array([], np.int64)
 
 
 def deltas(values: Column) -> Column:

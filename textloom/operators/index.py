@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,147 @@ def encoded_postings(p: DataFrame) -> DataFrame:
     return b.select("term", "block", "n", codec.vbyte_encode(F.concat(codec.deltas(inside), "tfs")).alias("code"))
 
 
+CODED = "term string, block long, n int, code binary"
+#: Postings that a worker has in arrays at a time, beyond those of one document or block.
+HELD = 1 << 20
+
+
+class _Words(dict):
+    """Number of the term of each word met so far, -1 for one that is no token; ``terms`` has the terms by number."""
+
+    def __init__(self, stemming: bool):
+        self.stemming, self.terms, self.numbers = stemming, [], {}
+
+    def __missing__(self, word: bytes) -> int:
+        term = word if text.is_token_py(word) else b""
+        if term and self.stemming:
+            term = porter.stem(word.decode("utf-8", "surrogateescape")).encode("utf-8", "surrogateescape")
+        number = -1
+        if term:
+            number = self.numbers.setdefault(term, len(self.terms))
+            if number == len(self.terms):
+                self.terms.append(term)
+        self[word] = number
+        return number
+
+
+_WORDS: dict[bool, _Words] = {}
+
+
+def _words(stemming: bool) -> _Words:
+    """The words that this worker has met, for a batch; at 2,000,000 it begins anew."""
+    if stemming not in _WORDS or len(_WORDS[stemming]) > 2_000_000:
+        _WORDS[stemming] = _Words(stemming)
+    return _WORDS[stemming]
+
+
+def _coded(group: np.ndarray, inside: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of documents and codes of the blocks of postings, which are sorted by ``group``, one number
+    for each block, and their place in it. The tfs of postings of one document add up."""
+    if not len(group):
+        return group, pa.array([], pa.binary())
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (inside[1:] != inside[:-1])
+    at = np.flatnonzero(new)
+    group, inside, tf = group[at], inside[at], np.add.reduceat(tf, at)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    n = np.diff(first, append=len(group))
+    delta = np.diff(inside, prepend=0)
+    delta[first] = inside[first]
+    place = np.arange(len(group)) + np.repeat(first, n)
+    values = np.empty(2 * len(group), np.int64)
+    values[place] = delta
+    values[place + np.repeat(n, n)] = tf
+    return n, codec.encode_runs(values, 2 * n)
+
+
+def _postings(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the block and tf of each posting of coded blocks."""
+    n = b.column("n").to_numpy().astype(np.int64)
+    values = codec.decode_runs(b.column("code"))
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) + np.repeat(first, n)
+    sums = np.cumsum(values[place])
+    inside = sums - np.repeat(np.concatenate([[0], sums])[first], n)
+    return np.repeat(np.arange(len(n)), n), inside, values[place + np.repeat(n, n)]
+
+
+def _parts(b: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """A batch of coded blocks cut at some of the rows ``starts``, the first of which is 0, about every
+    HELD postings; with the starts within each part."""
+    before = np.concatenate([[0], np.cumsum(b.column("n").to_numpy(), dtype=np.int64)])[starts]
+    cuts = np.flatnonzero(np.diff(before // HELD, prepend=-1))
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(starts)), strict=True):
+        end = starts[hi] if hi < len(starts) else b.num_rows
+        yield b.slice(starts[lo], end - starts[lo]), starts[lo:hi] - starts[lo]
+
+
+def _code_texts(stemming: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def coded(docs: list[int], counts: list[tuple[np.ndarray, np.ndarray]], terms: list[bytes]) -> pa.RecordBatch:
+        ids, rank = np.unique(np.array(docs, np.int64), return_inverse=True)
+        term = np.concatenate([t for t, _ in counts])
+        tf = np.concatenate([f for _, f in counts])
+        key = term << 32 | np.repeat(rank, [len(t) for t, _ in counts])
+        order = np.argsort(key)
+        order = order[np.searchsorted(term[order], 0) :]  # words that are no tokens come first
+        term, doc, tf = term[order], ids[key[order] & 0xFFFFFFFF], tf[order]
+        block = doc // BLOCK
+        new = np.diff(term, prepend=-1).astype(bool) | np.diff(block, prepend=-1).astype(bool)
+        n, code = _coded(np.cumsum(new), doc - block * BLOCK, tf)
+        first = np.flatnonzero(new)
+        words = pa.array([terms[i] for i in term[first]], pa.binary()).view(pa.string())
+        return pa.record_batch({"term": words, "block": pa.array(block[first]), "n": pa.array(n.astype(np.int32)), "code": code})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = _words(stemming)
+            docs, counts, held = [], [], 0
+            for doc, body in zip(b.column("doc_id").to_pylist(), b.column("body").cast(pa.binary()).to_pylist(), strict=True):
+                if c := text.word_counts_py(body or b""):
+                    docs.append(doc)
+                    counts.append((np.fromiter(map(words.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))))
+                    held += len(c)
+                if held > HELD:
+                    yield coded(docs, counts, words.terms)
+                    docs, counts, held = [], [], 0
+            if docs:
+                yield coded(docs, counts, words.terms)
+
+    return run
+
+
+def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coded blocks out of parts of them that follow each other, also from one batch to the next."""
+
+    def merged(b: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for part, at in _parts(b, starts) if len(starts) else ():
+            row, inside, tf = _postings(part)
+            group = np.repeat(np.arange(len(at)), np.diff(at, append=part.num_rows))[row]
+            order = np.argsort(group * BLOCK + inside, kind="stable")
+            n, code = _coded(group[order], inside[order], tf[order])
+            yield pa.record_batch({"term": part.column("term").take(pa.array(at)), "block": part.column("block").take(pa.array(at)), "n": pa.array(n.astype(np.int32)), "code": code})
+
+    held = None
+    for b in batches:
+        if held is not None:
+            b = pa.concat_batches([held, b])
+        if not b.num_rows:
+            continue
+        term, block = b.column("term").dictionary_encode().indices.to_numpy(), b.column("block").to_numpy()
+        starts = np.flatnonzero(np.diff(term, prepend=-1).astype(bool) | np.diff(block, prepend=block[0]).astype(bool))
+        yield from merged(b.slice(0, starts[-1]), starts[:-1])
+        held = b.slice(starts[-1])
+    if held is not None:
+        yield from merged(held, np.array([0]))
+
+
+def encoded_texts(docs: DataFrame, stemming: bool = True, body: str = "text") -> DataFrame:
+    """:func:`encoded_postings` of the postings of documents ``(doc_id, body)``. Workers count, stem and
+    code the documents of a batch; what is shuffled are codes of parts of blocks, which are merged."""
+    parts = docs.select("doc_id", F.col(body).alias("body")).mapInArrow(_code_texts(stemming), CODED)
+    return parts.repartition("term", "block").sortWithinPartitions("term", "block").mapInArrow(_merge_blocks, CODED)
+
+
 def decoded_postings(blocks: DataFrame) -> DataFrame:
     """Postings out of their blocks."""
     v = blocks.select("term", "block", "n", codec.vbyte_decode("code").alias("v"))

@@ -206,7 +206,7 @@ d AS (SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, block ORD
 SELECT term, block, CAST(count(*) AS INTEGER) AS n, string_agg({_CODE.format("delta")}, '' ORDER BY doc_id) || string_agg({_CODE.format("tf")}, '' ORDER BY doc_id) AS code FROM d GROUP BY term, block""")
 def vbyte_blocks(spark, base):
     """The bytes of each block of a posting list, in hexadecimal."""
-    blocks = index.encoded_postings(index.postings(_texts(spark, base)))
+    blocks = index.encoded_texts(_texts(spark, base))
     return blocks.select("term", "block", "n", F.lower(F.hex("code")).alias("code"))
 
 
