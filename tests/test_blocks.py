@@ -24,7 +24,7 @@ def test_blocks_of_texts_are_those_of_their_postings(spark):
     assert {(r.term, r.block): (r.n, bytes(r.code)) for r in encoded_texts(docs).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["vbyte_blocks"])
+@pytest.mark.parametrize("name", ["vbyte_blocks", "vbyte_roundtrip"])
 def test_no_word_is_stemmed_at_each_occurrence(spark, tmp_path, name):
     spark.createDataFrame([(1, "tests")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()

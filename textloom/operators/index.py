@@ -230,9 +230,15 @@ def encoded_texts(docs: DataFrame, stemming: bool = True, body: str = "text") ->
 
 def decoded_postings(blocks: DataFrame) -> DataFrame:
     """Postings out of their blocks."""
-    v = blocks.select("term", "block", "n", codec.vbyte_decode("code").alias("v"))
-    both = v.select("term", "block", codec.undo_deltas(F.slice("v", F.lit(1), F.col("n"))).alias("d"), F.slice("v", F.col("n") + 1, F.col("n")).alias("t"))
-    return both.select("term", "block", F.explode(F.arrays_zip("d", "t")).alias("x")).select("term", (F.col("x.d") + F.col("block") * BLOCK).alias("doc_id"), F.col("x.t").alias("tf"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, _ in _parts(b, np.arange(b.num_rows)) if b.num_rows else ():
+                row, inside, tf = _postings(part)
+                doc = part.column("block").to_numpy()[row] * BLOCK + inside
+                yield pa.record_batch({"term": part.column("term").take(pa.array(row)), "doc_id": pa.array(doc), "tf": pa.array(tf)})
+
+    return blocks.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in CODED.split(", "))).mapInArrow(run, "term string, doc_id long, tf long")
 
 
 def posting_deltas(p: DataFrame) -> DataFrame:

@@ -193,7 +193,7 @@ def vbyte_size(spark, base):
 
 @query(f"WITH {_STEMMED} SELECT term, doc_id, tf FROM p")
 def vbyte_roundtrip(spark, base):
-    return index.decoded_postings(index.encoded_postings(index.postings(_texts(spark, base))))
+    return index.decoded_postings(index.encoded_texts(_texts(spark, base)))
 
 
 _CODE = "CASE " + " ".join(
